@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import warc
+from pagefold.llm import bpe, tokenfile, warc
 from pagefold.llm.common import scratch, table
 
 
@@ -15,7 +15,30 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, folder).selectExpr("page_id", "payload_bytes", "digest as payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_warc": op1_warc}
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through the tokenization automaton, and back."""
+    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids into directly addressable files, and read from them."""
+    folder = scratch(spark, "ids")
+    manifest = tokenfile.write_ids(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"))
+    return tokenfile.read_documents(manifest, folder)
+
+
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op5_bpe": op5_bpe,
+    "op6_token_file": op6_token_file,
+}
 
 SQL = {
     "op1_warc": """
