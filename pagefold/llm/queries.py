@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, tokenfile, warc
+from pagefold.llm import bpe, quality, tokenfile, warc
 from pagefold.llm.common import scratch, table
 
 
@@ -34,10 +34,16 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_documents(manifest, folder)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the classifier's verdict on every document."""
+    return quality.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op5_bpe": op5_bpe,
     "op6_token_file": op6_token_file,
+    "op7_quality": op7_quality,
 }
 
 SQL = {

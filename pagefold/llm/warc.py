@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import small_batches, written
+from pagefold.llm.common import shuffle_partitions, small_batches, written
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long, payload_bytes long"
 RECORD = "page_id long, url string, payload binary, digest string, record_type string, refers_to long, payload_bytes long"
@@ -142,7 +142,7 @@ def ranges(rows: Iterable[dict], gap: int = READ_GAP, most: int = READ_BYTES) ->
         yield run
 
 
-def read_records(selected: DataFrame, folder: str, block: int = 64 << 20) -> DataFrame:
+def read_records(selected: DataFrame, folder: str, block: int = 32 << 20) -> DataFrame:
     """The records of the selected index rows. Work is dealt by (file, block), so a large archive is read by many tasks."""
     schema = _schema(RECORD)
 
@@ -161,4 +161,6 @@ def read_records(selected: DataFrame, folder: str, block: int = 64 << 20) -> Dat
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     where = selected.select("file", "offset", "length", F.floor(F.col("offset") / block).alias("block"))
-    return where.repartition("file", "block").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(get, RECORD)
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(shuffle_partitions(selected.sparkSession), -(-size // block))  # by the bytes to read: index rows say little of them
+    return where.repartition(tasks, "file", "block").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(get, RECORD)
