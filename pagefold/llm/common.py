@@ -48,3 +48,11 @@ def positions(df: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
     dealt = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     row = F.monotonically_increasing_id()
     return written(dealt.withColumn("pid", F.shiftright(row, 33).cast("int")).withColumn(at, row.bitwiseAND(F.lit((1 << 33) - 1))), "positions")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import small_batches
+from pagefold.llm.common import fresh, small_batches
 
 #: Base rules.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = b"#*$%&|<>", 8, 20, 30
@@ -221,7 +221,5 @@ def quality_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are kept."""
-    name = "found"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "found")
     return docs.withColumn(name, judge(docs, train(docs, labels))).where(F.col(f"{name}.kept")).drop(name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, quality, tokenfile, warc
+from pagefold.llm import bpe, quality, simhash, tokenfile, warc
 from pagefold.llm.common import scratch, table
 
 
@@ -39,11 +39,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op5_bpe": op5_bpe,
     "op6_token_file": op6_token_file,
     "op7_quality": op7_quality,
+    "op8_simhash": op8_simhash,
 }
 
 SQL = {
