@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, quality, secrets, simhash, tokenfile, warc
+from pagefold.llm import bpe, fingerprints, quality, secrets, simhash, tokenfile, warc
 from pagefold.llm.common import scratch, table
 
 
@@ -15,6 +15,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, folder).selectExpr("page_id", "payload_bytes", "digest as payload_digest", "record_type", "refers_to")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are."""
+    return fingerprints.fingerprint_rows(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     return secrets.secret_rows(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op6_token_file": op6_token_file,
