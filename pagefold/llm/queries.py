@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, fingerprints, quality, secrets, simhash, tokenfile, warc
+from pagefold.llm import bpe, fingerprints, licenses, quality, secrets, simhash, tokenfile, warc
 from pagefold.llm.common import scratch, table
 
 
@@ -55,6 +55,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document."""
+    return licenses.license_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_fingerprints": op3_fingerprints,
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_token_file": op6_token_file,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op10_licenses": op10_licenses,
 }
 
 SQL = {
