@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, fingerprints, licenses, quality, secrets, simhash, tokenfile, warc
+from pagefold.llm import bpe, chat, fingerprints, licenses, packing, quality, secrets, simhash, tokenfile, warc
 from pagefold.llm.common import scratch, table
 
 
@@ -15,6 +15,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, folder).selectExpr("page_id", "payload_bytes", "digest as payload_digest", "record_type", "refers_to")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered turns of every conversation that no longer one begins with."""
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how like they are."""
     return fingerprints.fingerprint_rows(table(spark, sf_dir, "documents"))
@@ -60,14 +65,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_rows(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bucket, batch and place."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_chat": op2_chat,
     "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op6_token_file": op6_token_file,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
 }
 
@@ -81,5 +93,20 @@ with p as (
 select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
   case when first_id < page_id then 'revisit' else 'response' end as record_type,
   case when first_id < page_id then first_id end as refers_to
-from f"""
+from f""",
+    "op2_chat": """
+with t as (
+  select *, row_number() over (partition by conv_id order by turn, role, text) as place,
+    md5(coalesce('r' || role, 'n') || chr(10) || coalesce('t' || text, 'n')) as h from conversations
+), p as (
+  select *, list(h) over (partition by conv_id order by place rows between unbounded preceding and current row) as prefix,
+    count(*) over (partition by conv_id) as n_turns from t
+), w as (
+  select prefix, min(conv_id) as conv_id from p where place = n_turns group by prefix
+), m as (
+  select conv_id from w where not exists (select 1 from p where p.prefix = w.prefix and p.place < p.n_turns)
+)
+select conv_id, turn, place, n_turns, role,
+  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) as rendered
+from p where conv_id in (select conv_id from m)""",
 }
