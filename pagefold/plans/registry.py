@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pagefold.plans import ensembles
+
+MODULES = (ensembles,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.SQL.items()}
