@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagefold.plans import ensembles
+from pagefold.plans import ensembles, geometric
 
-MODULES = (ensembles,)
+MODULES = (ensembles, geometric)
 
 
 def queries() -> dict:
