@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that say nothing of a field.
 STOPWORDS = """a an the is are was were be been have has had do does did will would could should may might must shall can cannot
@@ -64,13 +65,13 @@ def parse_amount(c: Column) -> Column:
     return F.when(one.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), one.try_cast("double"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_lower(s: pd.Series) -> pd.Series:
     """NFKC, lower case, white space collapsed. Spark has no Unicode normal forms, so this one is an Arrow batch in Python."""
     return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).lower().split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def align_text(s: pd.Series) -> pd.Series:
     """NFKD without combining marks, lower case, punctuation to spaces, white space collapsed."""
 
@@ -88,7 +89,7 @@ def ocr_code(c: Column) -> Column:
     return F.translate(nfkc_lower(c), "ol ", "01")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff and Obershelp's likeness, as difflib has it; the order of arguments matters. Null if either is."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -108,6 +109,6 @@ def best_part(short: str, long: str) -> float:
     return 100.0 * best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else best_part(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

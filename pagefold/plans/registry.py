@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagefold.plans import ensembles, geometric
+from pagefold.plans import ensembles, geometric, scalars, sequences
 
-MODULES = (ensembles, geometric)
+MODULES = (ensembles, geometric, scalars, sequences)
 
 
 def queries() -> dict:
