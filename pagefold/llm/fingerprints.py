@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pagefold.llm.common import shuffle_partitions
 
-PIECE, SLOTS, GROUP, ROUNDS = 100, 8, 8, 12
+PIECE, SLOTS, GROUP, ROUNDS = 100, 8, 14, 12
 CELLS = 3 * SLOTS
 PARAGRAPH = rf"[^\n]{{1,{PIECE}}}+[^\n.!?]*+[.!?]*+\n*+|\n++"
 
@@ -33,25 +33,37 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
+def _cells(key: Column) -> Column:
+    """One bit for a cell of each part: the slots that three bits each of the digest name."""
+    slot = lambda part: F.shiftrightunsigned(key, 3 * part).bitwiseAND(SLOTS - 1).cast("int")
+    one = lambda part: F.element_at(F.array(*(F.lit(1 << (SLOTS * part + k)) for k in range(SLOTS))), slot(part) + 1)
+    return one(0).bitwiseOR(one(1)).bitwiseOR(one(2))
+
+
+def items(keys: Column) -> Column:
+    """Digests with their checks and cells, which are worked out once here."""
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"), _cells(k).alias("cells")))
+
+
 def _check(key: Column) -> Column:
     return F.xxhash64(key).bitwiseAND(0xFFFFFFFF)
 
 
-def _in_cell(key: Column, cell: Column) -> Column:
-    """Whether the digest goes to this cell: part cell / SLOTS, and there the slot that three of its bits name."""
-    part = F.floor(cell / SLOTS).cast("int")
-    bits = F.when(part == 0, key).when(part == 1, F.shiftrightunsigned(key, 3)).otherwise(F.shiftrightunsigned(key, 6))
-    return bits.bitwiseAND(SLOTS - 1) == F.pmod(cell, F.lit(SLOTS))
+def _bits() -> Column:
+    return F.array(*(F.lit(1 << k) for k in range(CELLS)))
 
 
-def _xor(keys: Column, start: Column | None = None) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long") if start is None else start, lambda a, x: a.bitwiseXOR(x))
+def sketch(some: Column, less: Column | None = None) -> Column:
+    """Cells (n, key, check) of items; those of less, if given, count as minus one, so that the cells are those of a difference."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
 
+    def put(bit: Column, sign: int):
+        grown = lambda c, x: F.struct((c["n"] + sign).alias("n"), c["key"].bitwiseXOR(x["key"]).alias("key"), c["check"].bitwiseXOR(x["check"]).alias("check"))
+        return lambda c, x: F.when(x["cells"].bitwiseAND(bit) != 0, grown(c, x)).otherwise(c)
 
-def sketch(keys: Column) -> Column:
-    """Cells (n, key, check) of an array of digests."""
-    cell = lambda mine: F.struct(F.size(mine).alias("n"), _xor(mine).alias("key"), _xor(F.transform(mine, _check)).alias("check"))
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: let(F.filter(keys, lambda k: _in_cell(k, i)), cell))
+    cell = lambda bit: F.aggregate(some, zero, put(bit, 1))
+    both = lambda bit: F.aggregate(less, cell(bit), put(bit, -1))
+    return F.transform(_bits(), cell if less is None else both)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -61,49 +73,54 @@ def subtract(a: Column, b: Column) -> Column:
 def peel(cells: Column) -> Column:
     """The digests that differ (key, n: 1 or -1 for the side), or null if peeling stops before all cells are empty."""
     nothing = F.array().cast("array<struct<key:bigint,n:int>>")
-    start = F.struct(cells.alias("cells"), nothing.alias("out"))
+    start = F.struct(cells.alias("cells"), nothing.alias("out"), F.lit(True).alias("on"))
 
     def round_(state: Column, _: Column) -> Column:
-        alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
-        pure = F.array_distinct(F.transform(alone, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
-        take = lambda c, p: F.struct((c["n"] - p["n"]).alias("n"), c["key"].bitwiseXOR(p["key"]).alias("key"), c["check"].bitwiseXOR(_check(p["key"])).alias("check"))
-        without = lambda pure: F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(pure, lambda p: _in_cell(p["key"], i)), c, take))
-        return let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(F.struct(without(p).alias("cells"), F.concat(state["out"], p).alias("out"))))
+        alone = F.filter(state["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["check"] == _check(c["key"])))
+        pure = F.array_distinct(F.transform(alone, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"), c["check"].alias("check"), _cells(c["key"]).alias("cells"))))
+        less = lambda c, p: F.struct((c["n"] - p["n"]).alias("n"), c["key"].bitwiseXOR(p["key"]).alias("key"), c["check"].bitwiseXOR(p["check"]).alias("check"))
+        take = lambda bit: lambda c, p: F.when(p["cells"].bitwiseAND(bit) != 0, less(c, p)).otherwise(c)
+        without = lambda pure: F.zip_with(state["cells"], _bits(), lambda c, bit: F.aggregate(pure, c, take(bit)))
+        found = lambda p: F.transform(p, lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n")))
+        stop = F.struct(state["cells"].alias("cells"), state["out"].alias("out"), F.lit(False).alias("on"))
+        next_ = lambda p: F.when(F.size(p) == 0, stop).otherwise(F.struct(without(p).alias("cells"), F.concat(state["out"], found(p)).alias("out"), F.lit(True).alias("on")))
+        return F.when(state["on"], let(pure, next_)).otherwise(state)
 
     empty = lambda cells: F.forall(cells, lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda s: F.when(empty(s["cells"]), s["out"]))
 
 
 def _difference(a: Column, b: Column) -> Column:
-    """How many digests of sets a and b differ, by sketches of this size; null on failure."""
-    return let(peel(subtract(sketch(a), sketch(b))), lambda x: F.when(x.isNotNull(), F.size(x)))
+    """How many digests of items a and b differ, by sketches of this size; null on failure."""
+    return let(peel(sketch(a, b)), lambda x: F.when(x.isNotNull(), F.size(x)))
 
 
-def _dealt(a: Column, b: Column, groups: Column, shift: int, f) -> Column:
-    """Sum of f over the two sides' groups; dealt in two steps of about the square root of groups, so that the work grows little faster than the sets."""
-    step = F.ceil(F.sqrt(groups.cast("double"))).cast("int")
-    bits = lambda k: F.shiftrightunsigned(k, shift)
-    some = lambda keys, n, i, by: F.filter(keys, lambda k: F.pmod(F.floor(bits(k) / by).cast("long"), n.cast("long")) == i)
+def _dealt(a: Column, b: Column, bits: Column, shift: int, f) -> Column:
+    """Sum of f over the two sides' 2 ** bits groups, by the digests' bits from shift on. Past eight groups items are dealt in two steps, so that the work grows little faster than the sets."""
     add = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    two = lambda n: F.element_at(F.array(*(F.lit(1 << k) for k in range(24))), n + 1)
 
-    def outer(n: Column) -> Column:
-        each = lambda i: let(F.struct(some(a, n, i, F.lit(1)).alias("a"), some(b, n, i, F.lit(1)).alias("b")), lambda ab: inner(ab, n))
+    def groups(a: Column, b: Column, n: Column, at: Column, f) -> Column:
+        mine = lambda xs, i: F.filter(xs, lambda x: F.call_function("shiftrightunsigned", x["key"], at).bitwiseAND((n - 1).cast("long")) == i.cast("long"))
+        each = lambda i: let(F.struct(mine(a, i).alias("a"), mine(b, i).alias("b")), lambda g: f(g["a"], g["b"]))
         return add(F.transform(F.sequence(F.lit(0), n - 1), each))
 
-    def inner(ab: Column, n: Column) -> Column:
-        each = lambda j: let(F.struct(some(ab["a"], n, j, n).alias("a"), some(ab["b"], n, j, n).alias("b")), lambda g: f(g["a"], g["b"]))
-        return add(F.transform(F.sequence(F.lit(0), n - 1), each))
+    def outer(s: Column) -> Column:
+        first = F.when(s["bits"] > 3, F.shiftright(s["bits"], 1)).otherwise(0)
+        inner = lambda k: lambda x, y: groups(x, y, two(s["bits"] - k), F.lit(shift) + k, f)
+        return let(first, lambda k: groups(a, b, two(k), F.lit(shift), inner(k)))
 
-    return let(step, outer)
+    return let(F.struct(F.least(bits, F.lit(40)).alias("bits")), outer)
 
 
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """How many digests differ between sets a and b, whose sketches are cells_a and cells_b: from these, else from larger ones."""
-    exact = lambda x, y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
+    """How many digests differ between items a and b, whose sketches are cells_a and cells_b: from these, else from larger ones."""
+    keys = lambda xs: F.transform(xs, lambda x: x["key"])
+    exact = lambda x, y: F.size(F.array_except(keys(x), keys(y))) + F.size(F.array_except(keys(y), keys(x)))
     last = lambda x, y: F.coalesce(_difference(x, y), exact(x, y))
-    again = lambda x, y: F.coalesce(_difference(x, y), _dealt(x, y, F.lit(4), 40, last))
-    larger = _dealt(a, b, F.ceil((F.size(a) + F.size(b)) / GROUP).cast("int"), 9, again)
-    return let(peel(subtract(cells_a, cells_b)), lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), larger))
+    again = lambda x, y: F.coalesce(_difference(x, y), _dealt(x, y, F.lit(2), 40, last))
+    bits = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(a) + F.size(b)) / GROUP))).cast("int")
+    return let(peel(subtract(cells_a, cells_b)), lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), _dealt(a, b, bits, 9, again)))
 
 
 def likeness(a: Column, b: Column, differ: Column) -> Column:
@@ -155,12 +172,12 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     no digests, and like another empty text by 1. Repeated rows stay, in order of text within a doc_id; null ids come first.
     """
     rows = with_next(docs, 2 * shuffle_partitions(docs.sparkSession))
-    rows = rows.withColumn("keys", digests(F.col("text"))).withColumn("cells", sketch(F.col("keys")))
+    rows = rows.withColumn("keys", items(digests(F.col("text")))).withColumn("cells", sketch(F.col("keys")))
     order = W.partitionBy("bucket").orderBy("halo", F.asc_nulls_first("doc_id"), "text")
     rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "keys", "cells"))).where("halo = 0")
     n, tail = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail)))
-    rows = rows.withColumn("edited_keys", digests(F.col("edited"))).withColumn("edited_cells", sketch(F.col("edited_keys")))
+    rows = rows.withColumn("edited_keys", items(digests(F.col("edited")))).withColumn("edited_cells", sketch(F.col("edited_keys")))
     near = lambda other: likeness(F.col("keys"), F.col(f"{other}_keys"), difference(F.col("keys"), F.col(f"{other}_keys"), F.col("cells"), F.col(f"{other}_cells")))
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),

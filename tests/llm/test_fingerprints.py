@@ -58,5 +58,5 @@ def test_peeling_recovers_the_differing_digests(spark):
     a, b = [f"paragraph {k}." for k in range(40)], [f"paragraph {k}." for k in range(3, 44)]
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     keys = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-    found = df.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(keys(F.col("a"))), fingerprints.sketch(keys(F.col("b"))))).alias("x"), keys(F.array_except("a", "b")).alias("up"), keys(F.array_except("b", "a")).alias("down")).first()
+    found = df.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(fingerprints.items(keys(F.col("a")))), fingerprints.sketch(fingerprints.items(keys(F.col("b")))))).alias("x"), keys(F.array_except("a", "b")).alias("up"), keys(F.array_except("b", "a")).alias("down")).first()
     assert sorted((x.key, x.n) for x in found.x) == sorted([(k, 1) for k in found.up] + [(k, -1) for k in found.down])
