@@ -108,8 +108,8 @@ def format_confidence(fieldtype: Column, text: Column) -> Column:
     """The validator of the field type; 1 for other types, and for null text."""
     out = F.lit(1.0)
     for family, types in FAMILIES.items():
-        out = F.when(fieldtype.isin(types), F.coalesce(VALIDATORS[family](text), F.lit(1.0))).otherwise(out)
-    return out
+        out = F.when(fieldtype.isin(types), VALIDATORS[family](text)).otherwise(out)
+    return F.when(text.isNull(), F.lit(1.0)).otherwise(out)
 
 
 def validator_check(fieldtype: Column, text: Column) -> Column:

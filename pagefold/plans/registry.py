@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagefold.plans import analyses, ensembles, geometric, scalars, sequences
+from pagefold.plans import analyses, ensembles, extraction, geometric, scalars, sequences
 
-MODULES = (ensembles, geometric, scalars, sequences, analyses)
+MODULES = (ensembles, geometric, scalars, sequences, analyses, extraction)
 
 
 def queries() -> dict:
