@@ -77,7 +77,7 @@ def rate(c: Column) -> Column:
 
 
 def date(c: Column) -> Column:
-    """Any of six patterns. What the reference parses besides has the same forms: numbers of one to four digits between the same signs."""
+    """Any of six patterns, or a real date of year, month and day with one digit or two."""
     s = _trimmed(c)
     loose = r"(?i)^\d{4}-\d{1,2}-\d{1,2}$"
     real = F.try_to_timestamp(s, F.lit("yyyy-M-d")).isNotNull()

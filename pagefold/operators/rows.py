@@ -94,12 +94,19 @@ def row_blocks(rows: DataFrame, gap: float = 0.04) -> DataFrame:
 
 def expansions(spans: DataFrame, rows: DataFrame, radius: int = 3) -> DataFrame:
     """Candidate spans around each span (docid, page, span_id, word_ids): itself, grown both ways, to the left, to the right, its rows, and runs of its length and one more moved by -radius..radius. First of equals is kept."""
-    pages = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list("word_id")).alias("all"), F.collect_list(F.struct("word_id", "row")).alias("rows"))
+    keys = [*PAGE, "span_id"]
+    last = rows.groupBy(*PAGE).agg(F.max("word_id").alias("last"))
+    members = rows.groupBy(*PAGE, "row").agg(F.collect_list("word_id").alias("members"))
+    own = spans.select(*keys, F.explode("word_ids").alias("word_id")).join(rows.select(*PAGE, "word_id", "row"), [*PAGE, "word_id"]).select(*keys, "row").distinct()
+    level = own.join(members, [*PAGE, "row"]).groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("members"))).alias("level"))
     low, high, n = F.array_min("word_ids"), F.array_max("word_ids"), F.size("word_ids")
-    inside = lambda a, z: F.filter("all", lambda x: (x >= a) & (x <= z))
-    mine = F.transform(F.filter("rows", lambda r: F.array_contains("word_ids", r["word_id"])), lambda r: r["row"])
-    same_row = F.sort_array(F.transform(F.filter("rows", lambda r: F.array_contains(mine, r["row"])), lambda r: r["word_id"]))
+
+    def inside(a: Column, z: Column) -> Column:
+        """The page's numbers from a to z: they run from 0 without a gap."""
+        a, z = F.greatest(a, F.lit(0)), F.least(z, F.col("last"))
+        return F.when(a <= z, F.sequence(a, F.greatest(a, z))).otherwise(F.array().cast("array<int>"))
+
     moved = [inside(low + k, low + k + n - 1 + more) for k in range(-radius, radius + 1) for more in (0, 1)]
-    every = F.array(F.sort_array("word_ids"), inside(low - radius, high + radius), inside(low - radius, high), inside(low, high + radius), same_row, *moved)
+    every = F.array(F.sort_array("word_ids"), inside(low - radius, high + radius), inside(low - radius, high), inside(low, high + radius), "level", *moved)
     distinct = F.array_distinct(F.filter(every, lambda c: F.size(c) > 0))
-    return spans.join(pages, PAGE).select(*PAGE, "span_id", F.posexplode(distinct).alias("ord", "candidate"))
+    return spans.join(last, PAGE).join(level, keys).select(*keys, F.posexplode(distinct).alias("ord", "candidate"))
