@@ -19,7 +19,7 @@ from pagefold.llm.common import fresh, small_batches
 #: Base rules.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = b"#*$%&|<>", 8, 20, 30
 #: Labelled rows used at most; probability of quality from which a text is kept.
-SAMPLE, KEEP_AT = 3000, 0.5
+SAMPLE, KEEP_AT = 2000, 0.5
 WORD_BITS, CHAR_BITS, GRAM = 17, 16, 4
 #: A share's scale in the regression, and bytes of text that are scored at a time (a longer text: by itself).
 SCALE, CHUNK = 100.0, 1 << 20
@@ -125,9 +125,9 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps:
     held = np.arange(len(labels)) % 5 == 4
     held &= len(set(labels[held].tolist())) == 2 and len(set(labels[~held].tolist())) == 2
     use = np.flatnonzero(~held)
-    rows = np.concatenate([np.full(len(counts[i][0]), k) for k, i in enumerate(use)])
-    at = np.concatenate([counts[i][0] for i in use])
-    x = np.concatenate([counts[i][1] for i in use]).astype(np.float64) * SCALE
+    rows = np.concatenate([np.full(len(counts[i][0]), k, np.int32) for k, i in enumerate(use)])
+    at = np.concatenate([counts[i][0] for i in use]).astype(np.int32)
+    x = np.concatenate([counts[i][1] for i in use]).astype(np.float32) * np.float32(SCALE)
     y = labels[use].astype(float)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, bias, m, v = np.zeros(n_all + 1), 0.0, np.zeros(n_all + 1), np.zeros(n_all + 1)
@@ -185,12 +185,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("at", pa.list_(pa.int32())), ("share", pa.list_(pa.float32())), ("label_id", pa.int64()), ("label", pa.int32())]))
 
     rows = docs.where("text is not null").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("text", "label_id", F.col("label").cast("int").alias("label"))
-    got = rows.mapInArrow(count, "at array<int>, share array<float>, label_id long, label int").limit(2 * sample).toArrow().combine_chunks()
-    ids = np.asarray(got.column("label_id"))
-    at, share, y = got.column("at"), got.column("share"), np.asarray(got.column("label"))
+    got = rows.mapInArrow(count, "at array<int>, share array<float>, label_id long, label int").limit(2 * sample).toArrow()
+    ids, y = np.asarray(got.column("label_id")), np.asarray(got.column("label"))
+    parts = [[x.values.to_numpy() for chunk in got.column(c).chunks for x in chunk] for c in ("at", "share")]
+    at, share = parts
     keys = [(int(i) * 0x9E3779B97F4A7C15 % (1 << 64), len(at[k])) for k, i in enumerate(ids)]
     order = sorted(range(len(ids)), key=keys.__getitem__)
-    return fit([(np.asarray(at[k].values), np.asarray(share[k].values)) for k in order], y[order] if len(order) else np.zeros(0, int))
+    return fit([(at[k], share[k]) for k in order], y[order] if len(order) else np.zeros(0, int))
 
 
 FOUND = "struct<n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint, n_repeat_words: bigint, base_failed: boolean, p_quality: double, kept: boolean>"
