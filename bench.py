@@ -14,8 +14,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from pagefold.plans import registry  # noqa: E402
 
-HEADLINE = """ensemble_weighted_max self_consistency_vote overlap_demote best_iou_replace dedup_argmax word_union_bbox words_in_box smallest_region row_groups layout_render
-sliding_windows knn_vote jaccard_top1 cluster_prior cluster_tightness average_precision calc_verifier parse_llm_json exact_window_match""".split()
+HEADLINE = "ensemble_weighted_max dedup_argmax words_in_box row_groups knn_vote jaccard_top1 cluster_prior cluster_tightness average_precision calc_verifier".split()
 
 
 def main() -> None:
