@@ -1,21 +1,25 @@
 """Packing into optimal length buckets.
 
-The histogram of lengths over all documents, in at most BINS bins, goes to the driver; dynamic programming chooses the bucket
-boundaries that minimise the padding in total. Every document is padded to its bucket's boundary, and inside a bucket documents
-are numbered in order of doc_id and cut into batches of as many as the token budget holds at that padded length; a document longer
-than the budget has a batch of its own. Nothing is cut off or left out.
+The histogram of lengths over all documents goes to the driver; dynamic programming chooses the bucket boundaries that minimise the
+padding in total. Lengths under 2 ** BITS are counted one by one, longer ones by their first BITS binary digits, each group standing
+for its longest length, so one very long document costs the others no precision and the histogram has a bounded size:
+2 ** BITS rows and half as many for each further doubling. Every document is padded to its bucket's boundary, and inside a bucket
+documents are numbered in order of doc_id and cut into batches of as many as the token budget holds at that padded length; a
+document longer than the budget has a batch of its own. Nothing is cut off or left out.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagefold.llm.common import fresh, positions
 
-BUCKETS, BUDGET, BINS = 16, 65_536, 1024
+BUCKETS, BUDGET, BITS = 16, 65_536, 12
 
 
 def word_count(text: str = "text") -> Column:
@@ -23,57 +27,56 @@ def word_count(text: str = "text") -> Column:
     return F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")).cast("long")
 
 
-def bin_width(longest: int, bins: int = BINS) -> int:
-    """The width that cuts 1..longest into at most bins bins."""
-    return max(1, -(-longest // bins))
+def histogram(rows: DataFrame, column: str = "n_tokens", bits: int = BITS) -> list[tuple[int, int]]:
+    """Ascending (longest length of a group, rows in it); a length of 0 counts as 1."""
+    size = F.greatest(F.col(column), F.lit(1))
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(size)) - bits, F.lit(0)))
+    groups = rows.groupBy((size - size % width).alias("low")).agg(F.max(size).alias("size"), F.count("*").alias("n"))
+    return sorted((r["size"], r["n"]) for r in groups.collect())
 
 
 def boundaries(sizes: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
     """Of ascending sizes with counts, the at most buckets boundaries (some of the sizes, the last among them) with the least padding.
 
-    cost[k][j]: padding of sizes up to j in k buckets. The last bucket's start is found for each j over all starts.
+    least[j]: the fewest padded tokens of sizes up to j, in one more bucket each time round. With a last bucket from i on it is
+    least[i - 1] + size[j] * (rows from i to j), a line in size[j] for each i; as both slopes and sizes are in order, the lower hull
+    of the lines gives all minima in one pass, so a round takes time in proportion to the number of sizes.
     """
     if not sizes:
         return []
-    s, n = np.array(sizes, np.float64), np.array(counts, np.float64)
-    m, k = len(s), min(buckets, len(s))
-    many, total = np.concatenate(([0.0], np.cumsum(n))), np.concatenate(([0.0], np.cumsum(n * s)))
-    # pad[i, j]: padding of a bucket of sizes i..j
-    pad = np.where(np.arange(m)[:, None] <= np.arange(m)[None, :], s[None, :] * (many[None, 1:] - many[:-1, None]) - (total[None, 1:] - total[:-1, None]), np.inf)
-    cost, starts = pad[0].copy(), []
-    for _ in range(1, k):
-        before = np.concatenate(([np.inf], cost[:-1]))
-        all_ = before[:, None] + pad
-        start = all_.argmin(axis=0)
-        new = all_[start, np.arange(m)]
-        start = np.where(new < cost, start, -1)  # fewer buckets where one more does not help
+    rows = list(accumulate(counts, initial=0))
+    least, starts = [s * n for s, n in zip(sizes, rows[1:], strict=True)], []
+    for k in range(1, min(buckets, len(sizes))):
+        hull: deque[tuple[int, int, int]] = deque()  # slope, height at 0, start
+        now, start = list(least), [0] * len(sizes)
+        for j in range(k, len(sizes)):
+            m, c = -rows[j], least[j - 1]
+            while len(hull) > 1 and (c - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - m):
+                hull.pop()
+            hull.append((m, c, j))
+            value = [m * sizes[j] + c for m, c, _ in (hull[0], hull[min(1, len(hull) - 1)])]
+            while len(hull) > 1 and value[1] < value[0]:
+                hull.popleft()
+                value = [m * sizes[j] + c for m, c, _ in (hull[0], hull[min(1, len(hull) - 1)])]
+            now[j], start[j] = value[0] + sizes[j] * rows[j + 1], hull[0][2]
+        least = now
         starts.append(start)
-        cost = np.minimum(new, cost)
-    out, j = [], m - 1
+    out, j = [sizes[-1]], len(sizes) - 1
     for start in reversed(starts):
-        if j < 0:
-            break
-        if start[j] >= 0:
-            out.append(int(sizes[j]))
-            j = int(start[j]) - 1
-    if j >= 0:
-        out.append(int(sizes[j]))
-    return sorted(out)
+        j = start[j] - 1
+        out.append(sizes[j])
+    return out[::-1]
 
 
-def assign(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, bins: int = BINS) -> DataFrame:
+def assign(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, bits: int = BITS) -> DataFrame:
     """doc_id, n_tokens, bucket (from 0), padded (its boundary), batch (number in the bucket, from 0), slot (place in the batch) for rows (doc_id, n_tokens).
 
-    Lengths are rounded up to the bins' width for the boundaries, so padding counts to those. Null ids come first in a bucket;
-    rows that repeat an id follow each other. No rows: no rows.
+    Boundaries are lengths that documents have. Null ids come first in a bucket; rows that repeat an id follow each other.
+    No rows: no rows.
     """
-    spark = lengths.sparkSession
     rows = lengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
-    longest = rows.agg(F.max("n_tokens")).first()[0] or 0
-    width = bin_width(longest, bins)
-    rounded = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / width)).cast("long") * width
-    histogram = sorted(map(tuple, rows.groupBy(rounded.alias("size")).count().collect()))
-    cuts = boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets)
+    found = histogram(rows, bits=bits)
+    cuts = boundaries([x for x, _ in found], [n for _, n in found], buckets)
     padded = F.coalesce(*(F.when(F.col("n_tokens") <= c, F.lit(c)) for c in cuts), F.lit(0)).cast("long") if cuts else F.lit(0).cast("long")
     number = F.coalesce(*(F.when(F.col("n_tokens") <= c, F.lit(k)) for k, c in enumerate(cuts)), F.lit(0)).cast("int")
     placed = positions(rows.withColumn("bucket", number).withColumn("padded", padded), ["bucket", "doc_id", "n_tokens"])

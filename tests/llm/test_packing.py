@@ -20,13 +20,26 @@ def test_boundaries_are_optimal():
     assert packing.boundaries([], []) == []
 
 
-def brute(rows, buckets, budget, bins):
+def test_boundaries_of_many_sizes():
+    r = random.Random(16)
+    for m, k in ((300, 7), (257, 16), (40, 40), (5, 9)):
+        sizes = sorted(r.sample(range(1, 100_000), m))
+        counts = [r.choice([1, 2, 50, 10_000]) for _ in sizes]
+        least = [s * sum(counts[: j + 1]) for j, s in enumerate(sizes)]
+        for _ in range(1, min(k, m)):
+            least = [min([least[j], *(least[i - 1] + s * sum(counts[i : j + 1]) for i in range(1, j + 1))]) for j, s in enumerate(sizes)]
+        cuts = packing.boundaries(sizes, counts, k)
+        assert sum(min(c for c in cuts if c >= s) * n for s, n in zip(sizes, counts, strict=True)) == least[-1]
+
+
+def brute(rows, buckets, budget, bits):
     """Everything but the boundaries' choice, in plain Python."""
     n = [len((t or "").split()) for _, t in rows]
-    width = packing.bin_width(max(n, default=0), bins)
-    size = lambda x: max(1, -(-x // width)) * width
-    sizes = sorted({size(x) for x in n})
-    cuts = packing.boundaries(sizes, [sum(size(x) == s for x in n) for s in sizes], buckets)
+    groups = {}
+    for x in n:
+        groups.setdefault(max(x, 1) >> (drop := max(0, max(x, 1).bit_length() - bits)) << drop, []).append(max(x, 1))
+    sizes = sorted(map(max, groups.values()))
+    cuts = packing.boundaries(sizes, [len(g) for _, g in sorted(groups.items())], buckets)
     out = []
     for k, c in enumerate(cuts):
         mine = sorted(((i, x) for (i, _), x in zip(rows, n, strict=True) if x <= c and not any(x <= d for d in cuts[:k])), key=lambda v: (v[0] is not None, v[0] or 0, v[1]))
@@ -40,10 +53,16 @@ def test_rows(spark):
     rows = [(i, "w " * r.choice([0, 1, 5, 9, 30, 31, 200, r.randint(0, 60)])) for i in range(300)] + [(None, "a b"), (None, None), (7, "x"), (7, "x"), (999, "long " * 40_000)]
     r.shuffle(rows)
     df = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, bucket string").repartition(5)
-    got = sorted(map(tuple, packing.pack(df, buckets=4, budget=100, bins=64).collect()), key=repr)
-    assert got == brute(rows, 4, 100, 64)
+    got = sorted(map(tuple, packing.pack(df, buckets=4, budget=100, bits=3).collect()), key=repr)
+    assert got == brute(rows, 4, 100, 3)
     got = sorted(map(tuple, packing.pack(df).collect()), key=repr)
-    assert got == brute(rows, packing.BUCKETS, packing.BUDGET, packing.BINS)
+    assert got == brute(rows, packing.BUCKETS, packing.BUDGET, packing.BITS)
+
+
+def test_one_long_text_costs_the_others_nothing(spark):
+    rows = [(i, "w " * (5 if i % 2 else 90)) for i in range(40)] + [(99, "long " * 500_000)]
+    got = {r.doc_id: r.padded for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3).collect()}
+    assert got == {**{i: 5 if i % 2 else 90 for i in range(40)}, 99: 500_000}
 
 
 def test_batches(spark):
