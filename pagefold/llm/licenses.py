@@ -1,7 +1,7 @@
 """Licence scans: base phrases, and templates found through a positional index of rare words.
 
 Each template's words are indexed with their positions. Over the whole corpus the words' document frequencies are counted, and
-of each template its rarest words are its anchors. A file's rarest anchors are looked up; a posting says where its template
+of each template its rarest words are its anchors. All anchors that a file has are looked up; a posting says where its template
 would begin, and where two anchors agree on that, give or take SLACK words, the template is compared with the words there: its
 mandatory key phrases have to stand in them, and the share of its words that match in order is the score.
 """
@@ -44,7 +44,7 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved", ("all rights reserved",)),
     ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0", ("cc by nc sa 4 0",)),
 )
-ANCHORS, LOOKED_UP, SLACK, LEAST_SCORE = 4, 8, 3, 0.7
+ANCHORS, SLACK, LEAST_SCORE = 4, 3, 0.7
 
 _SPLIT = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -83,9 +83,8 @@ class Index:
 
     def match(self, ws: list[bytes], present: set[bytes]) -> dict[str, float]:
         """Labels of the templates that stand in the words, with their best scores."""
-        rare = sorted(present, key=lambda w: (-self.anchors[w][0], w))[:LOOKED_UP]
         begins: dict[int, list[tuple[int, bytes]]] = {}
-        for w in rare:
+        for w in present:
             for at in places(ws, [w]):
                 for t, k in self.anchors[w][1]:
                     begins.setdefault(t, []).append((at - k, w))

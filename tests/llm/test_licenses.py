@@ -54,3 +54,11 @@ def test_key_phrases_are_mandatory():
     assert licenses.verified(broken, 0, ws, keys) == 0.0
     a_word_put_in = [*ws[:3], b"hereby", *ws[3:]]
     assert licenses.verified(a_word_put_in, 0, ws, keys) == 1.0
+
+
+def test_a_text_with_every_licence():
+    r = random.Random(17)
+    by = licenses.build({}, 1000)
+    text = f" {filler(r, 20)}. ".join(t for _, t, _ in licenses.TEMPLATES)
+    found = licenses.scan(text.encode(), by)
+    assert set(found["labels"].split(",")) == {"apache", "gpl", *(label for label, _, _ in licenses.TEMPLATES)}
