@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import fresh, positions
+from pagefold.llm.common import fresh, positions, written
 
 BUCKETS, BUDGET, BITS = 16, 65_536, 12
 
@@ -75,6 +75,7 @@ def assign(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, bit
     No rows: no rows.
     """
     rows = lengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
+    rows = written(rows, "lengths")  # read three times: for the histogram, the ranges and the batches
     found = histogram(rows, bits=bits)
     cuts = boundaries([x for x, _ in found], [n for _, n in found], buckets)
     padded = F.coalesce(*(F.when(F.col("n_tokens") <= c, F.lit(c)) for c in cuts), F.lit(0)).cast("long") if cuts else F.lit(0).cast("long")
