@@ -52,9 +52,19 @@ def entity_vector(fields: DataFrame, types: Sequence[str]) -> DataFrame:
     return have.select("docid", F.array(*(F.array_contains("have", x).cast("int") for x in types)).alias("vector"))
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, likeness: Column) -> DataFrame:
-    """query, id, sim, rank of the k index rows most like each query, the smaller id first on a tie. Each query meets all of index, which is kept to its k best as rows arrive, so no more than k per query and task are shuffled."""
-    both = F.broadcast(queries).join(index, F.lit(True)).select("query", "id", likeness.alias("sim"), "label")
+def nearest(queries: DataFrame, index: DataFrame, k: int, likeness: Column, among: Column | None = None, block: int = 4096) -> DataFrame:
+    """query, id, sim, rank of the k index rows (of those among) most like each query, the smaller id first on a tie.
+
+    Each query meets all of index, in blocks: queries are dealt to blocks of about block rows and index to as many slices as there
+    are shuffle partitions, and a block meets a slice in one task, so neither side has to fit anywhere whole. A task keeps the k
+    best of its slice, so no more than k per query and slice are shuffled.
+    """
+    slices, blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-queries.count() // block))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("block_", deal("query", blocks)).withColumn("slice_", every(slices))
+    x = index.withColumn("slice_", deal("id", slices)).withColumn("block_", every(blocks))
+    both = q.join(x, ["block_", "slice_"]).where(F.lit(True) if among is None else among).select("query", "id", likeness.alias("sim"), "label")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -124,7 +134,7 @@ def character_match(predicted: DataFrame, gold: DataFrame, words: DataFrame) ->
     def held(boxes: DataFrame) -> DataFrame:
         keys = ["docid", "page", "fieldtype", "pos"]
         inside = boxes.join(chars, ["docid", "page"]).where(g.holds(g.box("", ("l", "t", "r", "b")), F.col("x"), F.col("y")))
-        return inside.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("word_id") * 4096 + F.col("i"))).alias("chars"))
+        return inside.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("word_id", "i"))).alias("chars"))
 
     a = predicted.join(held(predicted), ["docid", "page", "fieldtype", "pos"])
     b = held(gold).select("docid", "page", "fieldtype", "chars", F.col("pos").alias("gold"))

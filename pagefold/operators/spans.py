@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,19 +37,50 @@ def digit_windows(queries: DataFrame, words: DataFrame, most: int = 20) -> DataF
 
 def find_span(query: str, words: Sequence[str], least: float = 0.75) -> tuple[int, int, float] | None:
     """(first, last, ratio) of the run of the query's number of words, two more or fewer, most like it: the shortest, then leftmost of equals; None under least."""
-    q, best = query.split(), None
-    for n in range(max(1, len(q) - 2), len(q) + 3):
-        for i in range(len(words) - n + 1):
-            ratio = SequenceMatcher(None, query, " ".join(words[i : i + n])).ratio()
-            if best is None or ratio > best[2]:
-                best = i, i + n - 1, ratio
-    return best if best and best[2] >= least else None
+    return Page(words).find(query, least)
+
+
+class Page:
+    """A page's words, with how often letters occur up to each. Letters share CLASSES counts, so counts in common are at least the letters that can match, and a run whose counts are too few for a better ratio is passed over; the others get the ratio itself."""
+
+    CLASSES = 64
+
+    def __init__(self, words: Sequence[str]):
+        self.words = list(words)
+        codes = [np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "<u4") % self.CLASSES for w in self.words]
+        self.size = np.concatenate(([0], np.cumsum([len(c) for c in codes], dtype=np.int64)))
+        place = np.repeat(np.arange(len(codes)), np.diff(self.size))
+        counts = np.zeros((self.CLASSES, len(codes) + 1), np.int32)
+        np.add.at(counts, (np.concatenate(codes) if codes else np.zeros(0, np.int64), place + 1), 1)
+        self.counts = counts.cumsum(axis=1, dtype=np.int32)
+
+    def bounds(self, query: np.ndarray, n: int) -> np.ndarray:
+        """For each run of n words, at least its ratio to a text with the letter counts query."""
+        have = np.zeros(len(self.words) - n + 1, np.int64)
+        for c in np.flatnonzero(query):
+            spaces = n - 1 if c == ord(" ") % self.CLASSES else 0
+            have += np.minimum(self.counts[c, n:] - self.counts[c, :-n] + spaces, query[c])
+        return 2.0 * have / (query.sum() + self.size[n:] - self.size[:-n] + n - 1)
+
+    def find(self, query: str, least: float) -> tuple[int, int, float] | None:
+        best, best_ratio, q = None, least, len(query.split())
+        letters = np.bincount(np.frombuffer(query.encode("utf-32-le", "surrogatepass"), "<u4") % self.CLASSES, minlength=self.CLASSES)
+        for n in range(max(1, q - 2), min(q + 2, len(self.words)) + 1):
+            bounds = self.bounds(letters, n)
+            for i in np.flatnonzero(bounds >= best_ratio).tolist():
+                if best is not None and bounds[i] <= best_ratio:
+                    continue
+                ratio = SequenceMatcher(None, query, " ".join(self.words[i : i + n])).ratio()
+                if ratio > best_ratio or best is None and ratio == best_ratio:
+                    best, best_ratio = (i, i + n - 1, ratio), ratio
+        return best
 
 
 def find_spans(queries: DataFrame, words: DataFrame, least: float = 0.75) -> DataFrame:
     """docid, page, qid, first, last, ratio of find_span on normal texts for queries (docid, page, qid, query); a page's words and queries are one group."""
     pages = words.withColumn("normal", t.align_text("text")).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "normal"))), lambda x: x["normal"]).alias("ws"))
-    both = queries.withColumn("normal", t.align_text("query")).join(pages, PAGE).select(*PAGE, "qid", "normal", "ws")
+    wanted = queries.withColumn("normal", t.align_text("query")).where("normal <> ''").groupBy(*PAGE).agg(F.collect_list(F.struct("qid", "normal")).alias("qs"))
+    both = wanted.join(pages, PAGE).select(*PAGE, "qs", "ws")
 
     def search(batches) -> Iterator:
         import pandas as pd
@@ -56,8 +88,12 @@ def find_spans(queries: DataFrame, words: DataFrame, least: float = 0.75) -> Dat
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                if row.normal and (f := find_span(row.normal, list(row.ws), least)):
-                    out.append((row.docid, row.page, row.qid, *f))
+                page, known = Page(row.ws), {}
+                for q in row.qs:
+                    if (text := q["normal"]) not in known:
+                        known[text] = page.find(text, least)
+                    if f := known[text]:
+                        out.append((row.docid, row.page, q["qid"], *f))
             yield pd.DataFrame(out, columns=["docid", "page", "qid", "first", "last", "ratio"])
 
     return both.mapInPandas(search, "docid long, page int, qid long, first int, last int, ratio double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagefold.functions import geometry, text
 from pagefold.operators import analysis as a
 from pagefold.operators import joins
+from pagefold.plans.geometric import regions
 from pagefold.sources import views as v
 
 TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -26,20 +27,21 @@ def _shaped(s, d):
 
 
 def _vectors(s, d):
+    """Every twentieth vector against all the others."""
     e = v.read(s, d, "embeddings")
-    q = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return q, e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"), "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"), "label")
 
 
 def _knn(s, d, k):
     q, x = _vectors(s, d)
-    return a.nearest(q, x, k, F.round(geometry.dot(F.col("q"), F.col("e")), 6))
+    return a.nearest(q, x, k, F.round(geometry.dot(F.col("q"), F.col("e")), 6), F.col("id") != F.col("query"))
 
 
 def _hybrid(s, d):
     q, x = _vectors(s, d)
     first = lambda c: F.transform(F.slice(c, 1, 8), lambda y: F.when(y > 0, 1.0).otherwise(0.0))
-    return a.nearest(q, x, 3, F.round(0.7 * geometry.dot(F.col("q"), F.col("e")) + 0.3 * geometry.dot(first("q"), first("e")) / 8, 6)).select("query", "id", "sim", "rank")
+    return a.nearest(q, x, 3, F.round(0.7 * geometry.dot(F.col("q"), F.col("e")) + 0.3 * geometry.dot(first("q"), first("e")) / 8, 6), F.col("id") != F.col("query")).select("query", "id", "sim", "rank")
 
 
 def _tokens(s, d, table, key, name):
@@ -64,12 +66,13 @@ def _ap(s, d):
 _CENTS = "concat(cast(cast(floor(floor({v} * 100) / 100) as bigint) as string), '{sign}', lpad(cast(cast(floor({v} * 100) as bigint) % 100 as string), 2, '0'))"
 AMOUNTS = f"""select l_orderkey as docid, l_linenumber as page, fieldtype, case fieldtype when 'amount_total_net' then {_CENTS.format(v='l_extendedprice', sign=',')} when 'amount_total_tax' then {_CENTS.format(v='(l_extendedprice * l_tax)', sign='.')}
   else {_CENTS.format(v='(l_extendedprice * (1 + l_tax) * (1 + l_partkey % 7 * 0.0625))', sign='.')} end as text, l_partkey % 10 + l_suppkey % 7 * 10 + l_quantity * 100 + l_extendedprice as score
-  from {{lineitem}} cross join (select 'amount_total_net' as fieldtype union all select 'amount_total_tax' union all select 'amount_total_gross') t"""
-AMOUNTS_SQL = "amounts as (" + AMOUNTS.format(lineitem="lineitem").replace("as string)", "as varchar)") + ")"
+  from {{lineitem}}"""
+AMOUNT_TYPES = ["amount_total_net", "amount_total_tax", "amount_total_gross"]
+AMOUNTS_SQL = "amounts as (" + AMOUNTS.format(lineitem=f"(select *, unnest({AMOUNT_TYPES}) as fieldtype from lineitem)").replace("as string)", "as varchar)") + ")"
 
 
 def _amounts(s, d):
-    return s.sql(AMOUNTS, lineitem=v.read(s, d, "lineitem"))
+    return s.sql(AMOUNTS, lineitem=v.read(s, d, "lineitem").withColumn("fieldtype", F.explode(F.array(*map(F.lit, AMOUNT_TYPES)))))
 
 
 def _checks(s, d):
@@ -79,7 +82,8 @@ def _checks(s, d):
 def _cells(s, d):
     f = v.fields(s, d)
     cells = f.where("k = 0").select("docid", "page", F.lit(1).alias("table_id"), F.col("pos").alias("row"), (F.col("pos") % 3).alias("col"), F.col("fieldtype").alias("text"))
-    columns = s.createDataFrame([(0, "line_item_code"), (1, "line_item_quantity"), (2, None)], "col long, fieldtype string").join(cells.select("docid", "page", "table_id").distinct())
+    types = F.posexplode(F.array(F.lit("line_item_code"), F.lit("line_item_quantity"), F.lit(None).cast("string"))).alias("col", "fieldtype")
+    columns = cells.select("docid", "page", "table_id").distinct().select("docid", "page", "table_id", types)
     return joins.cells_to_fields(cells, columns, 1).select("docid", "page", "fieldtype", "line_item_id", "score")
 
 
@@ -115,9 +119,8 @@ def _rerank(s, d, soft):
 
 
 def _char_match(s, d):
-    w = v.words(s, d).where("word_id < 4096")
-    gold = w.where("word_id % 10 = 0").select("docid", "page", F.lit("code").alias("fieldtype"), F.col("word_id").alias("pos"), F.col("left").alias("l"), F.col("top").alias("t"), F.col("right").alias("r"), F.col("bottom").alias("b"))
-    moved = gold.withColumn("l", F.col("l") + F.when(F.col("pos") % 20 == 0, 0.002).otherwise(0.0)).withColumn("score", F.col("pos") / 4096)
+    gold = regions(s, d).select("docid", "page", F.col("label").alias("fieldtype"), F.col("ord").alias("pos"), "l", "t", "r", "b")
+    moved = gold.withColumn("l", F.col("l") + F.when(F.col("pos") % 2 == 0, 0.002).otherwise(0.0)).withColumn("score", F.col("pos") / 8)
     return a.character_match(moved, gold, v.words(s, d)).groupBy("docid", "hit").agg(F.count("*").alias("n"))
 
 
@@ -126,20 +129,20 @@ QUERIES = {
     "missing_types": lambda s, d: joins.missing_types(_docs(s, d), a.cluster_prior(v.annotated(s, d), _docs(s, d), 0.2).drop("share"), v.annotated(s, d)),
     "cluster_tightness": lambda s, d: a.tightness(_shaped(s, d)).select("cluster", F.round("presence", 6).alias("presence"), F.round("spread", 6).alias("spread"), F.round("shape", 6).alias("shape"), "verdict"),
     "coverage_hist": lambda s, d: a.coverage(_shaped(s, d).select("docid", (F.col("cluster") * 2).alias("cluster")), a.tightness(_shaped(s, d)), _shaped(s, d)),
-    "entity_vector": lambda s, d: a.entity_vector(v.annotated(s, d).withColumn("docid", F.col("docid") % 500), TYPES).select("docid", F.array_join("vector", "").alias("vector")),
+    "entity_vector": lambda s, d: a.entity_vector(_orders(s, d).select(F.col("o_custkey").alias("docid"), F.col("o_orderpriority").alias("fieldtype")), TYPES).select("docid", F.array_join("vector", "").alias("vector")),
     "knn_top1": lambda s, d: _knn(s, d, 1).select("query", "id", "sim"),
     "knn_vote": lambda s, d: a.majority(_knn(s, d, 5)),
     "hybrid_knn": _hybrid,
     "cluster_accuracy": lambda s, d: a.accuracy(_knn(s, d, 1).join(v.read(s, d, "embeddings").select(F.col("vec_id").alias("query"), F.col("label").alias("truth")), "query")).select(*(F.round(c, 6).alias(c) for c in ("accuracy", "mean", "p25", "median", "p75", "high", "low"))),
     "jaccard_top1": lambda s, d: _jaccard(s, d).select("query", "id", F.round("jaccard", 6).alias("jaccard")),
     "jaccard_buckets": lambda s, d: a.buckets(_jaccard(s, d).withColumn("jaccard", F.round("jaccard", 6)), "jaccard").select(*(F.round(c, 6).alias(c) for c in ("median", "mean", "least", "most")), "under_3", "under_5", "under_7", "above"),
-    "fewshot_lookup": lambda s, d: joins.few_shot(_docs(s, d), v.annotated(s, d).where("docid % 3 = 0"), 2, _docs(s, d).where("docid % 10 = 0").withColumn("cluster", F.lit(3))),
+    "fewshot_lookup": lambda s, d: joins.few_shot(_docs(s, d), v.annotated(s, d), 2, _docs(s, d).where("docid % 10 = 0").withColumn("cluster", F.lit(3))),
     "field_fewshot": lambda s, d: joins.field_few_shot(v.annotated(s, d), 3),
     "no_match_docs": lambda s, d: joins.no_match(_docs(s, d), v.annotated(s, d).where("cluster % 4 <> 1")).select("docid", "cluster"),
     "average_precision": lambda s, d: _ap(s, d).select("lang", F.round("ap", 6).alias("ap")),
     "per_field_f1": lambda s, d: a.f1(_scored(s, d).groupBy("lang").agg(F.count_if(F.col("hit") & (F.col("score") > 0.4)).alias("hits"), F.count_if(F.col("score") > 0.4).alias("predicted"), F.count_if("hit").alias("gold")), "hits", "predicted", "gold").select("lang", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1"))),
     "ab_delta_gate": lambda s, d: a.gate(_ap(s, d).withColumn("ap", F.round("ap", 6)), _ap(s, d).withColumn("ap", F.round(F.lit(1) - F.col("ap"), 6)), ["lang"], "ap", ((0.5, "strong"), (0.0, "neutral"))).select("lang", F.round("delta", 5).alias("delta"), "verdict"),
-    "set_f1": lambda s, d: a.set_f1(_orders(s, d).select((F.col("o_custkey")).alias("docid"), F.col("o_orderstatus").alias("fieldtype"), F.concat(F.lit(" "), "o_orderpriority").alias("text")), _orders(s, d).where("o_orderkey % 3 <> 0").select((F.col("o_custkey")).alias("docid"), F.col("o_orderstatus").alias("fieldtype"), F.col("o_orderpriority").alias("text"))).select("docid", F.round("f1", 6).alias("f1")),
+    "set_f1": lambda s, d: a.set_f1(_orders(s, d).select((F.col("o_custkey")).alias("docid"), F.col("o_orderstatus").alias("fieldtype"), F.concat(F.lit(" "), "o_orderpriority").alias("text")), _orders(s, d).where("o_orderstatus <> 'P'").select((F.col("o_custkey")).alias("docid"), F.col("o_orderstatus").alias("fieldtype"), F.col("o_orderpriority").alias("text"))).select("docid", F.round("f1", 6).alias("f1")),
     "character_match": _char_match,
     "calc_verifier": lambda s, d: _checks(s, d).select("docid", "page", "gross", "net", "tax", "off"),
     "calc_demote": lambda s, d: a.demote_amounts(_amounts(s, d), _checks(s, d)).groupBy("docid", "page").agg(F.round(F.sum("score"), 3).alias("score")),
@@ -152,8 +155,8 @@ QUERIES = {
     "table_cells": _cells,
 }
 _DOT = "list_dot_product(q::double[], e::double[])"
-_VEC = "qs as (select vec_id as query, embedding as q from embeddings where vec_id % 5 = 0), xs as (select vec_id as id, embedding as e, label from embeddings where vec_id % 5 <> 0)"
-_KNN = f"with {_VEC}, s as (select query, id, label, round({_DOT}, 6) as sim from qs, xs), n as (select *, cast(row_number() over (partition by query order by sim desc, id) as int) as rank from s)"
+_VEC = "qs as (select vec_id as query, embedding as q from embeddings where vec_id % 20 = 0), xs as (select vec_id as id, embedding as e, label from embeddings)"
+_KNN = f"with {_VEC}, s as (select query, id, label, round({_DOT}, 6) as sim from qs, xs where id <> query), n as (select *, cast(row_number() over (partition by query order by sim desc, id) as int) as rank from s)"
 _TOK = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: length(t) >= 2))"
 _JAC = f"with q as (select item_id as query, unnest({_TOK}) as token from benchmark), x as (select doc_id as id, unnest({_TOK}) as token from documents), qn as (select query, count(*) as qn from q group by 1), xn as (select id, count(*) as xn from x group by 1), b as (select query, id, count(*) as n from q join x using (token) group by 1, 2), j as (select query, id, n / (qn + xn - n) as jaccard from b join qn using (query) join xn using (id)), t as (select distinct on (query) query, id, round(jaccard, 6) as jaccard from j order by query, jaccard desc, id)"
 _PRIOR = f"{v.ANNOTATED}, docs as (select distinct docid, cluster from annotated), prior as (select cluster, fieldtype, count(distinct docid) / any_value(size) as share from annotated join (select cluster, count(distinct docid) as size from docs group by 1) using (cluster) group by 1, 2 having count(distinct docid) / any_value(size) >= 0.2)"
@@ -168,20 +171,20 @@ SQL = {
     "missing_types": f"with {_PRIOR} select d.docid, p.fieldtype from docs d join prior p using (cluster) where not exists (select 1 from annotated x where x.docid = d.docid and x.fieldtype = p.fieldtype)",
     "cluster_tightness": f"with {_TIGHT} select cluster, round(presence, 6) as presence, round(spread, 6) as spread, round(shape, 6) as shape, verdict from tight",
     "coverage_hist": f"with {_TIGHT}, v as (select s.docid, s.cluster * 2 as cluster from shaped s) select case when v.cluster not in (select cluster from shaped) then 'NO_MATCH' else coalesce(t.verdict, 'UNANALYZABLE') end as verdict, count(*) as n from v left join tight t using (cluster) group by 1",
-    "entity_vector": f"with {v.ANNOTATED} select docid % 500 as docid, concat({', '.join(f'''max((fieldtype = '{x}')::int)''' for x in TYPES)}) as vector from annotated group by 1",
+    "entity_vector": f"select o_custkey as docid, concat({', '.join(f'''max((o_orderpriority = '{x}')::int)''' for x in TYPES)}) as vector from orders group by 1",
     "knn_top1": f"{_KNN} select query, id, sim from n where rank = 1",
     "knn_vote": f"{_KNN}, c as (select query, label, count(*) as n, min(rank) as best from n where rank <= 5 group by 1, 2) select distinct on (query) query, label from c order by query, n desc, best",
-    "hybrid_knn": f"with {_VEC}, s as (select query, id, round(0.7::double * {_DOT} + 0.3::double * len(list_filter(range(1, 9), lambda i: q[i] > 0 and e[i] > 0)) / 8, 6) as sim from qs, xs), n as (select *, cast(row_number() over (partition by query order by sim desc, id) as int) as rank from s) select * from n where rank <= 3",
+    "hybrid_knn": f"with {_VEC}, s as (select query, id, round(0.7::double * {_DOT} + 0.3::double * len(list_filter(range(1, 9), lambda i: q[i] > 0 and e[i] > 0)) / 8, 6) as sim from qs, xs where id <> query), n as (select *, cast(row_number() over (partition by query order by sim desc, id) as int) as rank from s) select * from n where rank <= 3",
     "cluster_accuracy": f"{_KNN}, p as (select sim, n.label = m.label as ok from n join embeddings m on n.query = m.vec_id where rank = 1) select round(avg(ok::int), 6) as accuracy, round(avg(sim), 6) as mean, round(quantile_cont(sim, 0.25), 6) as p25, round(quantile_cont(sim, 0.5), 6) as median, round(quantile_cont(sim, 0.75), 6) as p75, round(avg((sim > 0.8)::int), 6) as high, round(avg((sim < 0.6)::int), 6) as low from p",
     "jaccard_top1": f"{_JAC} select * from t",
     "jaccard_buckets": f"{_JAC} select round(quantile_cont(jaccard, 0.5), 6) as median, round(avg(jaccard), 6) as mean, round(min(jaccard), 6) as least, round(max(jaccard), 6) as most, count(*) filter (jaccard < 0.3) as under_3, count(*) filter (jaccard >= 0.3 and jaccard < 0.5) as under_5, count(*) filter (jaccard >= 0.5 and jaccard < 0.7) as under_7, count(*) filter (jaccard >= 0.7) as above from t",
-    "fewshot_lookup": f"with {v.ANNOTATED}, docs as (select docid, case when docid % 10 = 0 then 3 else any_value(cluster) end as cluster from annotated group by 1), f as (select * from (select cluster, docid as example, cast(row_number() over (partition by cluster order by ord) as int) as n from annotated where docid % 3 = 0) where n <= 2) select docid, example, n from docs join f using (cluster)",
+    "fewshot_lookup": f"with {v.ANNOTATED}, docs as (select docid, case when docid % 10 = 0 then 3 else any_value(cluster) end as cluster from annotated group by 1), f as (select * from (select cluster, docid as example, cast(row_number() over (partition by cluster order by ord) as int) as n from annotated) where n <= 2) select docid, example, n from docs join f using (cluster)",
     "field_fewshot": f"with {v.ANNOTATED}, o as (select distinct on (docid, fieldtype) * from annotated order by docid, fieldtype, ord) select cluster, fieldtype, docid as example, text, n from (select *, cast(row_number() over (partition by cluster, fieldtype order by ord, docid) as int) as n from o) where n <= 3",
     "no_match_docs": f"with {v.ANNOTATED} select distinct docid, cluster from annotated where cluster % 4 = 1",
     "average_precision": f"with {_SC} select lang, round(ap, 6) as ap from ap",
     "per_field_f1": f"with {_SC}, c as (select lang, count_if(hit and score > 0.4::double) as h, count_if(score > 0.4::double) as p, count_if(hit) as g from sc group by 1), d as (select lang, h / p as precision, h / g as recall from c) select lang, round(precision, 6) as precision, round(recall, 6) as recall, round(2 * precision * recall / (precision + recall), 6) as f1 from d",
     "ab_delta_gate": f"with {_SC}, d as (select lang, round(1 - round(ap, 6), 6) - round(ap, 6) as delta from (select lang, ap from ap)) select lang, round(delta, 5) as delta, case when delta >= 0.5 then 'strong' when delta >= 0 then 'neutral' else 'worse' end as verdict from d",
-    "set_f1": "with p as (select distinct o_custkey as docid, concat(o_orderstatus, chr(31), lower(o_orderpriority)) as item from orders), q as (select distinct o_custkey as docid, concat(o_orderstatus, chr(31), lower(o_orderpriority)) as item from orders where o_orderkey % 3 <> 0), c as (select docid, count(p.item) as np, count(q.item) as nq, count(case when p.item is not null and q.item is not null then 1 end) as h from p full join q using (docid, item) group by 1) select docid, round(case when h = 0 then 0 else 2 * (h / np) * (h / nq) / (h / np + h / nq) end, 6) as f1 from c",
+    "set_f1": "with p as (select distinct o_custkey as docid, concat(o_orderstatus, chr(31), lower(o_orderpriority)) as item from orders), q as (select distinct o_custkey as docid, concat(o_orderstatus, chr(31), lower(o_orderpriority)) as item from orders where o_orderstatus <> 'P'), c as (select docid, count(p.item) as np, count(q.item) as nq, count(case when p.item is not null and q.item is not null then 1 end) as h from p full join q using (docid, item) group by 1) select docid, round(case when h = 0 then 0 else 2 * (h / np) * (h / nq) / (h / np + h / nq) end, 6) as f1 from c",
     "calc_verifier": f"""with {AMOUNTS_SQL}, x as (select docid, page, fieldtype, score, case when contains(text, ',') then cast(replace(text, ',', '.') as double) else cast(text as double) end as value from amounts),
 p as (select docid, page, arg_max(value, score) filter (fieldtype = 'amount_total_gross') as gross, arg_max(value, score) filter (fieldtype = 'amount_total_net') as net, arg_max(value, score) filter (fieldtype = 'amount_total_tax') as tax from x group by 1, 2)
 select docid, page, gross, net, tax, abs(gross - (net + tax)) / greatest(abs(gross), 0.01::double) > 0.03::double as off from p""",

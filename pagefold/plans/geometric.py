@@ -10,10 +10,10 @@ from pagefold.sources import views as v
 
 #: Boxes of four by one cells over each page's first eight rows and columns, in three labels.
 _REGIONS = """select docid, page, cast(k as int) as ord, concat('L', cast(k % 3 as string)) as label, k * 0.0625 as l, (k % 4) * 0.03125 - 0.0009765625 as t,
-  k * 0.0625 + 0.125 * (1 + k % 2) as r, (k % 4) * 0.03125 + 0.015625 as b from {pages} cross join (select explode(sequence(0, 7)) as k)"""
+  k * 0.0625 + 0.125 * (1 + k % 2) as r, (k % 4) * 0.03125 + 0.015625 as b from {pages}"""
 REGIONS = "regions as (select docid, page, cast(k as int) as ord, concat('L', k % 3) as label, (k * 0.0625)::double as l, ((k % 4) * 0.03125 - 0.0009765625)::double as t, (k * 0.0625 + 0.125 * (1 + k % 2))::double as r, ((k % 4) * 0.03125 + 0.015625)::double as b from (select distinct docid, page from words), range(8) x(k))"
-#: Every tenth word with the next two.
-SPANS = """spans as (select docid, page, word_id as span_id, [word_id, word_id + 1, word_id + 2] as word_ids from words where word_id % 10 = 0)"""
+#: Threes of words, side by side, so that every word is in one.
+SPANS = """spans as (select docid, page, word_id as span_id, [word_id, word_id + 1, word_id + 2] as word_ids from words where word_id % 3 = 0)"""
 BOXED = """boxed as (select s.docid, s.page, s.span_id, any_value(s.word_ids) as word_ids, min(w."left") as l, min(w.top) as t, max(w."right") as r, max(w.bottom) as b
   from spans s join words w on w.docid = s.docid and w.page = s.page and list_contains(s.word_ids, w.word_id) group by 1, 2, 3)"""
 VOCABULARY = "the of is ou er la de et un ti".split()
@@ -23,13 +23,13 @@ INSIDE = f"{CX} between x.l and x.r and {CY} between x.t and x.b"
 
 
 def regions(spark, d):
-    pages = v.words(spark, d).select("docid", "page").distinct()
+    pages = v.words(spark, d).select("docid", "page").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
     out = spark.sql(_REGIONS, pages=pages)
     return out.select("docid", "page", "ord", "label", *(F.col(c).cast("double").alias(c) for c in "ltrb"))
 
 
 def spans(spark, d):
-    w = v.words(spark, d).where("word_id % 10 = 0")
+    w = v.words(spark, d).where("word_id % 3 = 0")
     return w.select("docid", "page", F.col("word_id").alias("span_id"), F.sequence("word_id", F.col("word_id") + 2).alias("word_ids"))
 
 

@@ -1,3 +1,6 @@
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,33 @@ def test_find_span():
     assert spans.find_span("zzz", words) is None
 
 
+def test_find_span_passes_over_no_better_run():
+    r = random.Random(3)
+    for _ in range(300):
+        words = ["".join(r.choices("abé1", k=r.randint(1, 4))) for _ in range(r.randint(0, 14))]
+        query = " ".join("".join(r.choices("abé1", k=r.randint(1, 4))) for _ in range(r.randint(1, 4)))
+        best, q = None, len(query.split())
+        for n in range(max(1, q - 2), q + 3):
+            for i in range(len(words) - n + 1):
+                ratio = SequenceMatcher(None, query, " ".join(words[i : i + n])).ratio()
+                if best is None or ratio > best[2]:
+                    best = i, i + n - 1, ratio
+        assert spans.find_span(query, words, 0.6) == (best if best and best[2] >= 0.6 else None)
+
+
+def test_nearest_in_blocks(spark):
+    r = random.Random(4)
+    x = [(i, [float(r.randint(-3, 3)) for _ in range(4)], "ab"[i % 2]) for i in range(60)]
+    index = spark.createDataFrame(x, "id long, e array<double>, label string")
+    queries = index.where("id < 20").select(F.col("id").alias("query"), F.col("e").alias("q"))
+    sim = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    got = {(n.query, n["rank"]): n.id for n in analysis.nearest(queries, index, 3, sim, F.col("id") != F.col("query"), block=4).collect()}
+    for i, q, _ in x[:20]:
+        order = sorted((-sum(map(float.__mul__, q, e)), k) for k, e, _ in x if k != i)
+        assert [got[i, n] for n in (1, 2, 3)] == [k for _, k in order[:3]]
+    assert analysis.nearest(queries.limit(0), index, 3, sim).count() == 0
+
+
 def test_account_codes(spark):
     words = page(spark, "IBAN", "DE89", "3704", "0044", "0532", "0130", "00", "end")
     found = spans.regex_candidates(words, "iban")
