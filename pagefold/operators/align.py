@@ -55,6 +55,19 @@ def _first(words: Sequence[str], most: int, test: Callable[[str], bool]) -> tupl
     return None
 
 
+def _equal(parts: Sequence[str], most: int, want: str) -> tuple[int, int] | None:
+    """The first, then shortest run of parts that give want one after another; a run ends where it is no longer a beginning of want."""
+    for i in range(len(parts)):
+        s = ""
+        for n in range(1, min(most, len(parts) - i) + 1):
+            s += parts[i + n - 1]
+            if s == want:
+                return i, i + n - 1
+            if not want.startswith(s):
+                break
+    return None
+
+
 def _best(words: Sequence[str], most: int, score: Callable[[str], float], least: float) -> tuple[int, int, float] | None:
     best = None
     for i in range(len(words)):
@@ -76,10 +89,10 @@ def align_line(query: str, words: Sequence[str], fieldtype: str | None = None, f
     bare = "".join(query.split())
     if not bare:
         return None
-    if f := _first(words, most, lambda s: "".join(s.split()) == bare):
+    if f := _equal(["".join(w.split()) for w in words], most, bare):
         return Found(*f, 1.0, "exact")
     if fieldtype in DIGITS_FIRST and (d := _digits(query)):
-        if f := _first(words, most, lambda s: _digits(s) == d):
+        if f := _equal([_digits(w) for w in words], most, d):
             return Found(*f, 0.9, "digits")
         if b := _best(words, most, like, 0.85):
             return Found(b[0], b[1], b[2] * 0.88, "digits_fuzzy")
@@ -103,7 +116,7 @@ def align_text(query: str, words: Sequence[str], fieldtype: str | None = None) -
 
 
 def align(queries: DataFrame, words: DataFrame, least: float = 0.5) -> DataFrame:
-    """docid, page, qid, first, last, confidence, method for queries (docid, page, qid, fieldtype, query). A page's words travel as one array to its queries."""
+    """docid, page, qid, first, last, confidence, method for queries (docid, page, qid, fieldtype, query). A page's words and its queries are one row, and a query that repeats is looked for once."""
     pages = words.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "text"))), lambda x: x["text"]).alias("ws"))
 
     def work(batches) -> Iterator:
@@ -111,12 +124,17 @@ def align(queries: DataFrame, words: DataFrame, least: float = 0.5) -> DataFrame
 
         for b in batches:
             rows = []
-            for q in b.itertuples(index=False):
-                if q.query and (f := align_text(q.query, list(q.ws), q.fieldtype)) and f.confidence >= least:
-                    rows.append((q.docid, q.page, q.qid, f.first, f.last, f.confidence, f.method))
+            for page in b.itertuples(index=False):
+                ws, known = list(page.ws), {}
+                for q in page.qs:
+                    if (key := (q["query"], q["fieldtype"])) not in known:
+                        known[key] = align_text(key[0], ws, key[1])
+                    if (f := known[key]) and f.confidence >= least:
+                        rows.append((page.docid, page.page, q["qid"], f.first, f.last, f.confidence, f.method))
             yield pd.DataFrame(rows, columns=["docid", "page", "qid", "first", "last", "confidence", "method"])
 
-    both = queries.join(pages, PAGE).select(*PAGE, "qid", "fieldtype", "query", "ws")
+    wanted = queries.where("query <> ''").groupBy(*PAGE).agg(F.collect_list(F.struct("qid", "fieldtype", "query")).alias("qs"))
+    both = wanted.join(pages, PAGE).select(*PAGE, "qs", "ws")
     return both.mapInPandas(work, "docid long, page int, qid long, first int, last int, confidence double, method string")
 
 

@@ -95,6 +95,32 @@ def best_of_page(fields: DataFrame, multi: Sequence[str] = ()) -> DataFrame:
     return fields.withColumn("rank", rank).where(exempt | (F.col("rank") == 1)).drop("rank")
 
 
+def best_of_words(candidates: DataFrame) -> DataFrame:
+    """docid, page, ids, score, place: one row for each page and set of word_ids, with the best score; place is its number in the document by score, then page and ids. Candidates without words are one set."""
+    key = F.array_sort(F.array_distinct(F.coalesce("word_ids", F.array().cast("array<int>"))))
+    best = candidates.withColumn("ids", key).groupBy("docid", "page", "ids").agg(F.max("score").alias("score"))
+    return best.withColumn("place", F.row_number().over(W.partitionBy("docid").orderBy(F.desc("score"), "page", "ids")))
+
+
+def best_of_text(finds: DataFrame) -> DataFrame:
+    """docid, fieldtype, code, page, k, pos, score: the best find of each text over all pages, the first on a tie; texts are alike in upper case without white space, and nulls are alike."""
+    code = F.upper(F.regexp_replace("text", r"\s+", ""))
+    rank = F.row_number().over(W.partitionBy("docid", "fieldtype", "code").orderBy(F.desc("score"), "page", "k", "pos"))
+    return finds.withColumn("code", code).withColumn("rank", rank).where("rank = 1").select("docid", "fieldtype", "code", "page", "k", "pos", "score")
+
+
+def type_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """docid, fieldtype, side: types a document has in a alone, in b alone, or in both."""
+    key = ["docid", "fieldtype"]
+    one = a.select(*key, F.lit(1).alias("side")).unionByName(b.select(*key, F.lit(2).alias("side"))).groupBy(*key).agg(F.bit_or("side").alias("side"))
+    return one.select(*key, F.element_at(F.array(*map(F.lit, ("a", "b", "both"))), F.col("side")).alias("side"))
+
+
+def in_sources(fields: DataFrame, n_sources: int) -> DataFrame:
+    """docid and n0, n1, ...: how many fields each source k has, for every document of any source."""
+    return fields.groupBy("docid").agg(*(F.count_if(F.col("k") == k).alias(f"n{k}") for k in range(n_sources)))
+
+
 def replace_types(base: DataFrame, other: DataFrame, types: Sequence[str]) -> DataFrame:
     """base, where other has a field of one of types in a document, with other's in place of its own."""
     new = other.where(F.col("fieldtype").isin(list(types)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagefold.plans import analyses, ensembles, extraction, geometric, scalars, sequences
+from pagefold.plans import analyses, candidates, ensembles, extraction, geometric, scalars, sequences
 
-MODULES = (ensembles, geometric, scalars, sequences, analyses, extraction)
+MODULES = (ensembles, geometric, scalars, sequences, analyses, extraction, candidates)
 
 
 def queries() -> dict:

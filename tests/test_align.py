@@ -65,3 +65,12 @@ def test_classifier(spark):
     assert right >= 70
     assert learning.train(df.where("label = 0")) is None
     assert learning.score(df, None).first().p == 0.5
+
+
+def test_equal_runs_are_the_first_and_shortest():
+    r = random.Random(6)
+    for _ in range(500):
+        parts = ["".join(r.choices("ab", k=r.randint(0, 2))) for _ in range(r.randint(0, 8))]
+        want = "".join(r.choices("ab", k=r.randint(1, 4)))
+        runs = [(i, i + n - 1) for i in range(len(parts)) for n in range(1, min(4, len(parts) - i) + 1) if "".join(parts[i : i + n]) == want]
+        assert align._equal(parts, 4, want) == (runs[0] if runs else None)

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["ensemble_weighted_max", "self_consistency_vote", "best_iou_replace", "smallest_region", "row_groups", "layout_render", "knn_vote", "calc_verifier", "parse_llm_json", "format_confidence"]
+NAMES = ["ensemble_weighted_max", "self_consistency_vote", "best_iou_replace", "smallest_region", "row_groups", "layout_render", "knn_vote", "calc_verifier", "parse_llm_json", "format_confidence", "candidate_dedup", "oracle_dedup", "type_sets", "align_cascade", "oracle_account_num", "parse_verdicts", "merge_pages", "script_rules", "hybrid_knn"]
 
 
 def normal(v):
