@@ -5,7 +5,7 @@ ends past PIECE characters. The sketch has CELLS cells in three parts; a digest
 adds to a count and is folded by exclusive or into a key and a check. Two sketches subtract cell by cell; what both have
 cancels, and peeling cells that hold one digest recovers the digests that differ. If that stops early, larger sketches
 are tried: digests are dealt to groups of about GROUP by further bits, with CELLS cells for each; a group that fails still
-is dealt to four. A group of the last size that fails, which is very rare, is compared digest by digest.
+is dealt to four, up to RETRIES times. A group that fails then is compared digest by digest.
 
 Only DataFrame functions, and no explode: each document's work is on arrays in its row.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pagefold.llm.common import shuffle_partitions
 
-PIECE, SLOTS, GROUP, ROUNDS = 100, 8, 14, 12
+PIECE, SLOTS, GROUP, ROUNDS, RETRIES = 100, 8, 14, 12, 4
 CELLS = 3 * SLOTS
 PARAGRAPH = rf"[^\n]{{1,{PIECE}}}+[^\n.!?]*+[.!?]*+\n*+|\n++"
 
@@ -117,10 +117,13 @@ def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column
     """How many digests differ between items a and b, whose sketches are cells_a and cells_b: from these, else from larger ones."""
     keys = lambda xs: F.transform(xs, lambda x: x["key"])
     exact = lambda x, y: F.size(F.array_except(keys(x), keys(y))) + F.size(F.array_except(keys(y), keys(x)))
-    last = lambda x, y: F.coalesce(_difference(x, y), exact(x, y))
-    again = lambda x, y: F.coalesce(_difference(x, y), _dealt(x, y, F.lit(2), 40, last))
+
+    def again(retry: int):
+        larger = lambda x, y: _dealt(x, y, F.lit(2), 40 + 2 * retry, again(retry + 1)) if retry < RETRIES else exact(x, y)
+        return lambda x, y: F.coalesce(_difference(x, y), larger(x, y))
+
     bits = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(a) + F.size(b)) / GROUP))).cast("int")
-    return let(peel(subtract(cells_a, cells_b)), lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), _dealt(a, b, bits, 9, again)))
+    return let(peel(subtract(cells_a, cells_b)), lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), _dealt(a, b, bits, 9, again(0))))
 
 
 def likeness(a: Column, b: Column, differ: Column) -> Column:
