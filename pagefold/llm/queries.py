@@ -109,4 +109,27 @@ with t as (
 select conv_id, turn, place, n_turns, role,
   '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) as rendered
 from p where conv_id in (select conv_id from m)""",
+    "op9_packing": r"""
+with recursive lens as (
+  select doc_id, cast(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as bigint) as n_tokens from documents
+), h as (
+  select greatest(n_tokens, 1) as size, count(*) as c from lens group by 1
+), s as (
+  select row_number() over (order by size) as j, size, cast(sum(c) over (order by size) as bigint) as upto from h
+), dp as (
+  select 1 as k, j, size * upto as cost, cast(1 as bigint) as i from s
+  union all
+  select k + 1, s.j, min(cost + s.size * (s.upto - q.upto)), arg_min(q.j + 1, (cost + s.size * (s.upto - q.upto), q.j))
+  from dp join s q on q.j = dp.j join s on s.j > q.j where k < 16 and q.j >= k group by k, s.j
+), cut as (
+  select k, j, i from dp where k = (select least(16, max(j)) from s) and j = (select max(j) from s)
+  union all
+  select dp.k, dp.j, dp.i from cut join dp on dp.k = cut.k - 1 and dp.j = cut.i - 1
+), cuts as (
+  select cast(row_number() over (order by size) - 1 as int) as bucket, size as padded, coalesce(lag(size) over (order by size), 0) as low from cut join s using (j)
+), placed as (
+  select doc_id, n_tokens, bucket, padded, row_number() over (partition by bucket order by doc_id nulls first, n_tokens) - 1 as r
+  from lens join cuts on greatest(n_tokens, 1) > low and greatest(n_tokens, 1) <= padded
+)
+select doc_id, n_tokens, bucket, padded, cast(r // greatest(1, 65536 // padded) as bigint) as batch, cast(r % greatest(1, 65536 // padded) as bigint) as slot from placed""",
 }

@@ -32,14 +32,16 @@ def test_boundaries_of_many_sizes():
         assert sum(min(c for c in cuts if c >= s) * n for s, n in zip(sizes, counts, strict=True)) == least[-1]
 
 
-def brute(rows, buckets, budget, bits):
-    """Everything but the boundaries' choice, in plain Python."""
+def brute(rows, buckets, budget):
+    """All of it in plain Python: boundaries by trying every last bucket, the earliest of equally good ones."""
     n = [len((t or "").split()) for _, t in rows]
-    groups = {}
-    for x in n:
-        groups.setdefault(max(x, 1) >> (drop := max(0, max(x, 1).bit_length() - bits)) << drop, []).append(max(x, 1))
-    sizes = sorted(map(max, groups.values()))
-    cuts = packing.boundaries(sizes, [len(g) for _, g in sorted(groups.items())], buckets)
+    sizes = sorted({max(x, 1) for x in n})
+    counts = [sum(max(x, 1) == s for x in n) for s in sizes]
+    best = {0: (0, [])}  # sizes covered: cost and boundaries, of the same number of buckets
+    for _ in range(min(buckets, len(sizes))):
+        best = {j: min(((c + sizes[j - 1] * sum(counts[i:j]), i, cuts) for i, (c, cuts) in best.items() if i < j), key=lambda v: v[:2]) for j in range(1, len(sizes) + 1) if any(i < j for i in best)}
+        best = {j: (c, [*cuts, sizes[j - 1]]) for j, (c, _, cuts) in best.items()}
+    cuts = best[len(sizes)][1] if sizes else []
     out = []
     for k, c in enumerate(cuts):
         mine = sorted(((i, x) for (i, _), x in zip(rows, n, strict=True) if x <= c and not any(x <= d for d in cuts[:k])), key=lambda v: (v[0] is not None, v[0] or 0, v[1]))
@@ -50,13 +52,13 @@ def brute(rows, buckets, budget, bits):
 
 def test_rows(spark):
     r = random.Random(15)
-    rows = [(i, "w " * r.choice([0, 1, 5, 9, 30, 31, 200, r.randint(0, 60)])) for i in range(300)] + [(None, "a b"), (None, None), (7, "x"), (7, "x"), (999, "long " * 40_000)]
+    rows = [(i, "w " * r.choice([0, 1, 5, 9, 30, 31, 200, r.randint(0, 60)])) for i in range(300)] + [(None, "a b"), (None, None), (7, "x"), (7, "x"), (999, "long " * 40_000), (998, "long " * 39_999)]
     r.shuffle(rows)
     df = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, bucket string").repartition(5)
-    got = sorted(map(tuple, packing.pack(df, buckets=4, budget=100, bits=3).collect()), key=repr)
-    assert got == brute(rows, 4, 100, 3)
+    got = sorted(map(tuple, packing.pack(df, buckets=4, budget=100).collect()), key=repr)
+    assert got == brute(rows, 4, 100)
     got = sorted(map(tuple, packing.pack(df).collect()), key=repr)
-    assert got == brute(rows, packing.BUCKETS, packing.BUDGET, packing.BITS)
+    assert got == brute(rows, packing.BUCKETS, packing.BUDGET)
 
 
 def test_one_long_text_costs_the_others_nothing(spark):
@@ -65,6 +67,39 @@ def test_one_long_text_costs_the_others_nothing(spark):
     assert got == {**{i: 5 if i % 2 else 90 for i in range(40)}, 99: 500_000}
 
 
+def test_long_lengths_are_exact(spark):
+    """Lengths that differ far behind their first digits keep their own boundaries."""
+    rows = [(i, n) for i, n in enumerate([100_000, 100_001, 100_003, 250_000])]
+    got = {r.n_tokens: r.padded for r in packing.assign(spark.createDataFrame(rows, "doc_id long, n_tokens long"), buckets=4).collect()}
+    assert got == {n: n for _, n in rows}
+
+
+def test_token_batches(spark):
+    r = random.Random(18)
+    rows = [(i, [r.randint(1, 60_000) for _ in range(r.randint(0, 12))]) for i in range(60)] + [(None, [5, 6]), (3, [9]), (3, [9]), (70, None), (71, list(range(400)))]
+    df = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, ids array<int>, padded string")
+    got = packing.token_batches(df, pad_id=-1, buckets=3, budget=40).collect()
+    back = [(i, [x for x in ids if x != -1]) for b in got for i, ids in zip(b.doc_ids, b.ids, strict=True)]
+    assert sorted(back, key=repr) == sorted(((i, x or []) for i, x in rows), key=repr)
+    for b in got:
+        assert all(len(x) == b.padded for x in b.ids) and (b.padded * len(b.ids) <= 40 or len(b.ids) == 1)
+        assert b.padding == sum(x.count(-1) for x in b.ids)
+    assert packing.token_batches(df.limit(0)).count() == 0
+
+
+def test_tokens_of_a_tokenizer(spark):
+    """Ids of the tokenization automaton, in padded batches."""
+    import public_tokenizers
+
+    from pagefold.llm import bpe
+
+    df = spark.createDataFrame([(i, "some words " * i) for i in range(20)], "doc_id long, text string")
+    ids = bpe.encode_documents(df, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "ids")
+    want = {r.doc_id: r.ids for r in ids.collect()}
+    got = {i: x[: len(want[i])] for b in packing.token_batches(ids, pad_id=0, buckets=2, budget=64).collect() for i, x in zip(b.doc_ids, b.ids, strict=True)}
+    assert got == want
+
+
 def test_batches(spark):
     rows = [(i, "w " * (i % 7)) for i in range(50)] + [(None, "n n"), (3, "w w w "), (60, "long " * 300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -56,7 +56,7 @@ def test_stages(spark, tmp_path):
     assert all(x.n_chars == len(x.text) for x in third.collect())
 
     last = stages["packing"](spark, third, str(tmp_path))
-    want = brute_pack(list(masked.items()), packing.BUCKETS, packing.BUDGET, packing.BINS)
+    want = brute_pack(list(masked.items()), packing.BUCKETS, packing.BUDGET)
     assert sorted(map(tuple, last.collect()), key=repr) == want
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr) == want
 
@@ -66,13 +66,14 @@ def test_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(None, text, None, None, None, None), (None, text, "en", "s", 1, 0), (1, None, None, "s", None, 0), (2, text + " more", None, None, 5, 0), (2, text + " more", None, None, 5, 0), (3, "other " + " ".join(f"v{k}" for k in range(50)), "en", "s", 3, 0)]
-    for some, n in (([], 0), (rows, 2)):
+    for some, n in (([], 0), (rows, 2)):  # doc 2's text differs from the null rows' in one word of 61, and links with it
         df = spark.createDataFrame(some, DDL)
         for _, stage in corpus_pipeline.STAGES[:-1]:
             df = stage(spark, df, str(tmp_path))
             assert df.columns == [c.split()[0] for c in DDL.split(", ")]
         out = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()
-        assert len(out) in (n, n + 1)  # the null rows' text may link with doc 2's
+        linked = (brute_fingerprint(text) ^ brute_fingerprint(text + " more")).bit_count() <= simhash.RADIUS
+        assert len(out) == (n if linked or not some else n + 1)
 
 
 def test_simhash_is_the_pipelines(spark):

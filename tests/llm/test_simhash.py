@@ -45,11 +45,19 @@ def near(r, n):
 def test_tree_finds_all_within():
     r = random.Random(4)
     fps = near(r, 60)
-    tree = simhash.BKTree()
-    for x in fps:
-        tree.insert(x)
+    tree = simhash.Tree(simhash.BKTree(fps).packed())
+    assert sorted(tree.value) == fps
     for x in [*fps, *(r.getrandbits(64) for _ in range(20))]:
-        assert sorted(tree.value[k] for k in tree.within(x, 3)) == [y for y in fps if (x ^ y).bit_count() <= 3]
+        assert sorted(tree.within(x, 3)) == [y for y in fps if (x ^ y).bit_count() <= 3]
+
+
+def test_search_follows_edges_within_the_radius():
+    r = random.Random(14)
+    fps = [r.getrandbits(64) for _ in range(500)]
+    whole = simhash.BKTree(fps)
+    for node, below in enumerate(whole.children):
+        for edge, child in below.items():
+            assert edge == (whole.value[node] ^ whole.value[child]).bit_count()
 
 
 def test_masks_cover_all_links():
@@ -68,8 +76,8 @@ def test_links_and_components(spark):
     want = brute_components(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for shard in (8192, 3):  # small shards: pairs of parts
-        roots = dict(map(tuple, simhash.components(simhash.links(df, len(fps), shard=shard)).collect()))
+    for shard, most in ((8192, 1 << 20), (3, 1 << 20), (8192, 0), (3, 0)):  # small shards have parts; no bytes: no broadcast
+        roots = dict(map(tuple, simhash.components(simhash.links(df, len(fps), shard=shard, tree_bytes=most)).collect()))
         got = [roots.get(x, x) for x in signed]
         assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
