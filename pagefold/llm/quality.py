@@ -23,6 +23,8 @@ SAMPLE, KEEP_AT = 2000, 0.5
 WORD_BITS, CHAR_BITS, GRAM = 17, 16, 4
 #: A share's scale in the regression, and bytes of text that are scored at a time (a longer text: by itself).
 SCALE, CHUNK = 100.0, 1 << 20
+#: Features the fit takes at a time, which bounds its working arrays.
+FIT_BLOCK = 1 << 19
 
 _WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _NOT_CHARS = _WHITE + bytes(range(0x80, 0xC0))
@@ -37,8 +39,9 @@ def base(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), len(text.translate(None, _NOT_CHARS)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated(words)
 
 
-def repeated(words: list[bytes], size: int = WINDOW) -> int:
-    """Words in windows of size words that occur twice or more; hashes only rule texts without any out."""
+def repeated(words: list[bytes]) -> int:
+    """Words in windows of WINDOW (a power of two) words that occur twice or more; hashes only rule texts without any out."""
+    size = WINDOW
     n = len(words) - size + 1
     if n < 2:
         return 0
@@ -49,15 +52,15 @@ def repeated(words: list[bytes], size: int = WINDOW) -> int:
     w.sort()
     if not (w[1:] == w[:-1]).any():
         return 0
-    places: dict[tuple, list[int]] = {}
-    for i in range(n):
-        places.setdefault(tuple(words[i : i + size]), []).append(i)
+    # ranks of runs of 1, 2, 4 and 8 words, each from the pair of ranks before: equal ranks are equal words, a few numbers a word
+    known: dict[bytes, int] = {}
+    rank = np.fromiter((known.setdefault(x, len(known)) for x in words), np.int64, len(words))
+    for k in (1, 2, 4):
+        _, rank = np.unique(rank[:-k] * len(words) + rank[k:], return_inverse=True)
+    often = np.bincount(rank)[rank] > 1
     hit = np.zeros(len(words) + 1, np.int64)
-    for found in places.values():
-        if len(found) > 1:
-            for i in found:
-                hit[i] += 1
-                hit[i + size] -= 1
+    hit[:n] += often
+    hit[size:] -= often
     return int((np.cumsum(hit) > 0).sum())
 
 
@@ -125,16 +128,17 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps:
     held = np.arange(len(labels)) % 5 == 4
     held &= len(set(labels[held].tolist())) == 2 and len(set(labels[~held].tolist())) == 2
     use = np.flatnonzero(~held)
-    rows = np.concatenate([np.full(len(counts[i][0]), k, np.int32) for k, i in enumerate(use)])
+    rows = np.repeat(np.arange(len(use), dtype=np.int32), [len(counts[i][0]) for i in use])
     at = np.concatenate([counts[i][0] for i in use]).astype(np.int32)
     x = np.concatenate([counts[i][1] for i in use]).astype(np.float32) * np.float32(SCALE)
     y = labels[use].astype(float)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, bias, m, v = np.zeros(n_all + 1), 0.0, np.zeros(n_all + 1), np.zeros(n_all + 1)
+    blocks = [slice(k, k + FIT_BLOCK) for k in range(0, len(at), FIT_BLOCK)]
     for step in range(1, steps + 1):  # Adam over all rows
-        z = np.bincount(rows, w[at] * x, len(y)) + w[-1]
+        z = sum((np.bincount(rows[b], w[at[b]] * x[b], len(y)) for b in blocks), np.zeros(len(y))) + w[-1]
         error = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        grad = np.append(np.bincount(at, error[rows] * x, n_all), error.sum()) + 1e-6 * w
+        grad = np.append(sum((np.bincount(at[b], error[rows[b]] * x[b], n_all) for b in blocks), np.zeros(n_all)), error.sum()) + 1e-6 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
     bias = w[-1]
@@ -166,8 +170,9 @@ def _texts(col: pa.Array) -> list[bytes]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on rows of docs (doc_id, text) that labels (doc_id, quality) names.
 
-    At most sample labelled ids, those of the smallest xxhash64, are used, and twice as many rows of docs. An id with
-    both labels counts as 0; null ids, labels and texts are left out.
+    At most sample labelled ids, those of the smallest xxhash64, are used, each with one text: of rows that repeat an id the
+    least. An id with both labels counts as 0; null ids, labels and texts are left out. The rows come to the driver as features:
+    a text has 2 ** WORD_BITS + 2 ** CHAR_BITS at most, however long it is, so 8 bytes * 196,608 * sample is the bound.
     """
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("label"))
@@ -184,8 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 rows.append({"at": np.concatenate([p[0] for p in parts]).tolist(), "share": np.concatenate([p[1] for p in parts]).tolist(), "label_id": i, "label": y})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("at", pa.list_(pa.int32())), ("share", pa.list_(pa.float32())), ("label_id", pa.int64()), ("label", pa.int32())]))
 
-    rows = docs.where("text is not null").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("text", "label_id", F.col("label").cast("int").alias("label"))
-    got = rows.mapInArrow(count, "at array<int>, share array<float>, label_id long, label int").limit(2 * sample).toArrow()
+    rows = docs.where("text is not null").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min("text").alias("text"), F.first("label").cast("int").alias("label")).select("text", "label_id", "label")
+    got = rows.mapInArrow(count, "at array<int>, share array<float>, label_id long, label int").toArrow()
     ids, y = np.asarray(got.column("label_id")), np.asarray(got.column("label"))
     parts = [[x.values.to_numpy() for chunk in got.column(c).chunks for x in chunk] for c in ("at", "share")]
     at, share = parts
