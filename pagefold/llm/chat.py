@@ -1,7 +1,7 @@
 """Chat formatting: logged snapshots of a growing conversation collapse into the longest, then turns are rendered.
 
 Every turn gets the hash of the conversation up to it: the exclusive or of its turns' hashes, each of which has the turn's number
-in it, in 2 x 64 bits. A conversation that equals the first turns of a longer one is dropped by an anti-join on that hash; of equal
+in it, in 2 x 64 bits, from role and text hashed twice with seeds of their own. A conversation that equals the first turns of a longer one is dropped by an anti-join on that hash; of equal
 conversations the one with the smallest id stays.
 
 A conversation may be of any length: turns are dealt by ranges of (conversation, turn), so one may lie in many partitions, and
@@ -24,14 +24,17 @@ def _ordered() -> list[str]:
     return ["conv_id", "turn", "role_key", "text_key"]
 
 
+def key(column: str, seed: int = 0) -> Column:
+    """64 bits of a string, other ones for each even seed; null has a key that no string gets by being that text."""
+    return F.when(F.col(column).isNull(), F.xxhash64(F.lit(seed + 1))).otherwise(F.xxhash64(F.lit(seed), F.col(column)))
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role_key, text_key (hashes of role and text), place (from 1) and the hashes one, two of the conversation up to the row.
 
     Only hashes are dealt and sorted, not the texts. Rows of one turn number are in order of their hashes.
     """
-    null = F.lit("\x00null")  # not a role or text that the rows can have next to its own hash seed
-    key = lambda c: F.when(F.col(c).isNull(), F.xxhash64(null, F.lit(1))).otherwise(F.xxhash64(F.col(c), F.lit(0)))
-    light = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), key("role").alias("role_key"), key("text").alias("text_key"))
+    light = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), key("role").alias("role_key"), key("text").alias("text_key"), F.xxhash64(key("role", 2), key("text", 2)).alias("second"))
     rows = positions(light, _ordered())
     part = rows.groupBy("conv_id", "pid").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     crossing = part.groupBy("conv_id").agg(F.count("*").alias("parts")).where("parts > 1").select(F.col("conv_id").alias("crosses"))  # fewer than there are partitions
@@ -41,7 +44,7 @@ def turns(conversations: DataFrame) -> DataFrame:
     same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pid") == F.col("p"))
     begin = F.min("at").over(W.partitionBy("conv_id", "pid"))
     numbered = rows.withColumn("place", F.col("at") - begin + 1).join(carried, same, "left").withColumn("place", F.col("place") + F.coalesce("before", F.lit(0))).drop("c", "p", "before", "at")
-    hashed = numbered.withColumn("h1", F.xxhash64("place", "role_key", "text_key")).withColumn("h2", F.xxhash64("text_key", "place", "role_key", F.lit(7)))
+    hashed = numbered.withColumn("h1", F.xxhash64("place", "role_key", "text_key")).withColumn("h2", F.xxhash64("second", "place"))
     inside = W.partitionBy("conv_id", "pid").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     scanned = written(hashed.withColumn("one", F.bit_xor("h1").over(inside)).withColumn("two", F.bit_xor("h2").over(inside)), "turns")
     whole = scanned.join(F.broadcast(crossing), F.col("conv_id").eqNullSafe(F.col("crosses")), "left_semi").groupBy("conv_id", "pid").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
@@ -74,12 +77,10 @@ def collapse(conversations: DataFrame) -> DataFrame:
 
     conversations: conv_id, turn, role, text; other columns are left out. Turns are ordered by number (null first), rows of one
     number by hashes of role and text; repeated rows are turns of their own. Null conv_ids are one conversation, which of equal
-    ones is never the one to stay. Joined by place, the rendered turns of a conversation are its document.
+    ones is never the one to stay. Texts of any length are hashed whole and read once more to be rendered. Joined by place, the rendered turns of a conversation are its document.
     """
     prefixes = written(turns(conversations), "prefixes")
     stay = maximal(prefixes).select(F.col("conv_id").alias("c"), "n_turns")
-    null = F.lit("\x00null")
-    key = lambda c: F.when(F.col(c).isNull(), F.xxhash64(null, F.lit(1))).otherwise(F.xxhash64(F.col(c), F.lit(0)))
     names = prefixes.select(F.col("conv_id").alias("i"), F.col("turn").alias("t"), F.col("role_key").alias("rk"), F.col("text_key").alias("tk"), "place").join(stay, F.col("i").eqNullSafe(F.col("c"))).drop("c")
     # rows alike in all four are interchangeable: each row's places are listed once and given out by number
     alike = names.groupBy("i", "t", "rk", "tk", "n_turns").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
