@@ -2,15 +2,21 @@
 
 The automaton reads tokens, not bytes: it accepts exactly the token sequences that the merges produce. It begins
 with one state in which every symbol may follow every symbol. Each merge u + v -> w, in order, applies a gadget:
-the state that u leads to is replaced by a copy without the arc v, and w gets the arcs of v wherever u and v could
-follow each other. A state is kept as its last gadget and the state it was copied from, at the time of the copy; so
-w's state is v's as of then, and rows of the transition table are filled from that when they are first needed.
+the state that u leads to is replaced by a copy without the arc v, w leads to a copy of the state that v leads to, and
+w gets an arc wherever u has one. So every label leads to one state, and the construction keeps, for each gadget, what it
+removed and when, and for each state which one it was copied from and when.
 
-A pre-split word is encoded by following arcs from the start, the longest label first, going back where a state has no
-arc; one path reaches the end of the word, and it is the encoding. Decoding emits the labels of the arcs.
+That is compiled into a table, a row of bits for each state and a column for each label. Columns are numbered so that what a
+removed arc takes with it, the labels that later begin with it, stand next to each other; a state's row is then the sum
+of a few intervals for each gadget that touched it or a state it was copied from.
+
+A pre-split word is encoded from left to right, a table look-up for each step: at each place exactly one label that ends there
+may follow the state reached where it begins, so there is one state for each place and nothing is tried twice. Decoding emits
+the labels of the arcs.
 
 Text outside Latin-1 and Latin Extended-A is normalised and split by the tokenizers library's own parts, so that
-all of Unicode is split as there; the usual text takes an equal pattern that is faster.
+all of Unicode is split as there; the usual text takes an equal pattern that is faster. Texts and words may be of any length: a
+word takes time in proportion to its length by the longest label's.
 """
 
 from __future__ import annotations
@@ -18,10 +24,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,120 +59,124 @@ class Automaton:
         self.vocab, self.end = vocab, end
         self.labels = {i: s for s, i in vocab.items()}
         n = max(vocab.values(), default=-1) + 1
-        self.made = [-1] * n  # when an arc label came to be
-        self.left, self.right = [-1] * n, [-1] * n
-        self.gone: dict[int, dict[int, int]] = {}  # label u -> arcs removed from its state, and when
+        #: When a label's arcs came to be (symbols: -1), and its two parts.
+        self.made, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
+        #: By label u, the gadgets on the state it leads to: label of the arc removed -> when.
+        self.gone: dict[int, dict[int, int]] = {}
+        self.merges: list[tuple[int, int]] = []
         for k, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if self.made[w] < 0 and self.left[w] < 0:
-                self.made[w], self.left[w], self.right[w] = k, u, v
-            self.gone.setdefault(u, {}).setdefault(v, k)
-        self._row: dict[int, tuple] = {}
-        self._arcs: dict[int, bool] = {}
+            if self.left[w] >= 0:
+                raise ValueError(f"two merges give {a + b!r}")
+            self.made[w], self.left[w], self.right[w] = k, u, v
+            self.gone.setdefault(u, {})[v] = k
+            self.merges.append((u, v))
         self.occurs = [False] * n
         for label in sorted(self.labels, key=lambda i: self.made[i]):
             self.occurs[label] = self._occurs(label)
-        #: Labels that end a word, by their text; all other labels and their heads (-1: a head alone).
-        self.last: dict[str, int] = {}
-        self.heads: dict[str, int] = {}
-        for label, text in self.labels.items():
-            if not self.occurs[label]:
-                continue
-            if end and text.endswith(end):
-                self.last[text.removesuffix(end)] = label
-                continue
-            if not end:
-                self.last[text] = label
-            self.heads[text] = label
-            for k in range(len(text) - 1, 0, -1):
-                if text[:k] in self.heads:
-                    break
-                self.heads[text[:k]] = -1
-
-    def _removed(self, label: int) -> tuple:
-        """The gadgets that made the state label leads to: (arcs removed, up to what time), nearest first."""
-        if (found := self._row.get(label)) is None:
-            out, x, until = [], label, 1 << 60
-            while x >= 0:
-                if g := self.gone.get(x):
-                    out.append((g, until))
-                until = min(until, self.made[x])  # a copy has what was removed before it was made
-                x = self.right[x]
-            found = self._row[label] = tuple(out)
-        return found
-
-    def arc(self, last: int, label: int) -> bool:
-        """Whether the state that last leads to has an arc label. An arc is missing if it was removed, or if the arc of its left part was when it would have been added."""
-        key = last << 32 | label
-        if (found := self._arcs.get(key)) is None:
-            found, x, until = True, label, 1 << 60
-            rows = self._removed(last)
-            while x >= 0 and found:
-                for g, copied in rows:
-                    k = g.get(x, -1)
-                    if 0 <= k < copied and k <= until:
-                        found = False
-                        break
-                until, x = self.made[x], self.left[x]
-            if len(self._arcs) > 2_000_000:
-                self._arcs.clear()
-            self._arcs[key] = found
-        return found
-
-    def encode(self, word: str) -> tuple[int, ...]:
-        """word: symbols of the vocabulary (byte letters), without the end suffix.
-
-        Depth first over (place, last label): the arc that ends the word, then the others from the longest on. A place
-        and label from which the end can't be reached is not entered twice.
-        """
-        if (whole := self.last.get(word)) is not None:
-            return (whole,)
-        if not word:
-            return ()
-        heads, ending, known, arc = self.heads.get, self.last.get, self._arcs.get, self.arc
-        n, at, last, path, back, dead = len(word), 0, -1, [], [], set()
-        while True:
-            found = []
-            for stop in range(at + 1, n):
-                label = heads(word[at:stop])
-                if label is None:
-                    break
-                if label >= 0:
-                    found.append((stop, label))
-            whole = ending(word[at:])
-            if whole is not None and (last < 0 or arc(last, whole)):
-                path.append(whole)
-                return tuple(path)
-            while True:
-                if found:
-                    step = found.pop()
-                    if step not in dead and (last < 0 or ((ok := known(last << 32 | step[1])) or ok is None and arc(last, step[1]))):
-                        back.append((found, at, last))
-                        at, last = step
-                        path.append(last)
-                        break
-                elif back:
-                    dead.add((at, last))
-                    path.pop()
-                    found, at, last = back.pop()
-                else:
-                    raise ValueError(f"no path for {word!r}")
+        self._number_columns()
+        final = lambda label: bool(end) and self.labels[label].endswith(end)
+        #: A row for each label that another may follow.
+        self.rows: dict[int, bytes] = {i: self._row(i) for i in self.labels if self.occurs[i] and not final(i)}
+        #: By their text, labels that end a word, with their columns; those that don't, and the beginnings of these (-1).
+        self.last = {t.removesuffix(end): (i, self.column[i]) for i, t in self.labels.items() if self.occurs[i] and (not end or final(i))}
+        inner = {t: (i, self.column[i]) for i, t in self.labels.items() if self.occurs[i] and not final(i)}
+        self.heads = {t[:k]: (-1, 0) for t in inner for k in range(1, len(t))} | inner
+        every = np.zeros(n, bool)
+        every[[self.column[i] for i in self.labels if self.occurs[i]]] = True
+        self.start = np.packbits(every, bitorder="little").tobytes()
+
+    def _copies(self, label: int) -> Iterator[tuple[int, int]]:
+        """The states behind the one label leads to, each by a label x that led there, with the time up to which x's gadgets count."""
+        x, until = label, 1 << 60
+        while x >= 0:
+            yield x, until
+            until = min(until, self.made[x])  # a copy has what was removed before it was made
+            x = self.right[x]
 
     def _occurs(self, label: int) -> bool:
-        """Whether the label's two parts can follow each other until they are merged; else no path has it."""
+        """Whether the label's two parts can follow each other when they are merged; else no path has it."""
         u, x, k, until = self.left[label], self.right[label], self.made[label], 1 << 60
         if u < 0:
             return len(self.labels[label].removesuffix(self.end)) == 1
         if not (self.occurs[u] and self.occurs[x]):
             return False
-        rows = self._removed(u)
         while x >= 0:
-            for g, copied in rows:
-                if 0 <= g.get(x, -1) < min(copied, k, until + 1):
-                    return False
+            if any(0 <= self.gone.get(y, {}).get(x, -1) < min(copied, k, until + 1) for y, copied in self._copies(u)):
+                return False
             until, x = self.made[x], self.left[x]
         return True
 
+    def _number_columns(self) -> None:
+        """Columns in preorder of the labels' left parts, later labels after earlier ones, and for each gadget the columns it takes: the arc's own, and those of labels that begin with it and were made no sooner."""
+        below: dict[int, list[int]] = {}
+        for label in sorted(self.labels, key=lambda i: self.made[i]):
+            below.setdefault(self.left[label], []).append(label)
+        n = len(self.made)
+        self.column, stop, at = [0] * n, [0] * n, 0
+        todo = [(label, False) for label in reversed(below.get(-1, []))]
+        while todo:
+            label, done = todo.pop()
+            if done:
+                stop[label] = at
+                continue
+            self.column[label], at = at, at + 1
+            todo.append((label, True))
+            todo += [(c, False) for c in reversed(below.get(label, []))]
+        gadgets = {u: [(k, v) for v, k in arcs.items()] for u, arcs in self.gone.items()}
+        self.taken: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for u, arcs in gadgets.items():  # in order of time: when, first columns, columns after the last
+            when, first, after = [], [], []
+            for k, v in arcs:
+                later = below.get(v, [])
+                c = bisect_left(later, k, key=lambda i: self.made[i])
+                when.append(k)
+                first.append((self.column[v], self.column[later[c]] if c < len(later) else stop[v]))
+                after.append((self.column[v] + 1, stop[v]))
+            self.taken[u] = np.array(when), np.array(first), np.array(after)
+
+    def _row(self, label: int) -> bytes:
+        """Bits of the labels that may follow label."""
+        n, first, after = len(self.made), [], []
+        for x, until in self._copies(label):
+            if x in self.taken:
+                when, a, z = self.taken[x]
+                k = int(np.searchsorted(when, until))
+                first.append(a[:k].ravel())
+                after.append(z[:k].ravel())
+        gone = np.zeros(n + 1, np.int64)
+        if first:
+            gone = np.cumsum(np.bincount(np.concatenate(first), minlength=n + 1) - np.bincount(np.concatenate(after), minlength=n + 1))
+        return np.packbits(gone[:n] == 0, bitorder="little").tobytes()
+
+    def encode(self, word: str) -> tuple[int, ...]:
+        """word: symbols of the vocabulary (byte letters), without the end suffix."""
+        if (whole := self.last.get(word)) is not None:
+            return (whole[0],)
+        if not word:
+            return ()
+        heads, rows, last, n = self.heads, self.rows, self.last, len(word)
+        row, label, back = [self.start] + [b""] * n, [-1] * (n + 1), [-1] * (n + 1)
+        for begin in range(n):
+            here = row[begin]
+            if (found := last.get(word[begin:])) is not None and here[found[1] >> 3] >> (found[1] & 7) & 1:
+                label[n], back[n] = found[0], begin
+                break
+            for stop in range(begin + 1, n):
+                found = heads.get(word[begin:stop])
+                if found is None:
+                    break
+                i, c = found
+                if i >= 0 and here[c >> 3] >> (c & 7) & 1:
+                    row[stop], label[stop], back[stop] = rows[i], i, begin
+        if back[n] < 0:
+            raise ValueError(f"no path for {word!r}")
+        out, at = [], n
+        while at:
+            out.append(label[at])
+            at = back[at]
+        return tuple(out[::-1])
+
 
 class Encoder:
     """A vocabulary file's whole encoding: special tokens, normalising, splitting, then the automaton for each word."""
