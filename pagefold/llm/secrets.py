@@ -1,17 +1,25 @@
 """Secret scans: base patterns, and a battery of randomness tests on other long strings.
 
 Only DataFrame functions. A string's encoding is inferred from its characters (all classes of an alphabet must be there);
-under each encoding three tests ask whether it looks drawn at random: chi-squared of the alphabet's uniformity,
-runs over the two halves of the alphabet, and serial correlation. Fisher's method combines them. Strings that are not random are
-rejected by the Benjamini-Hochberg rule in each class of lengths, over the whole corpus, so that of the rejected few are
-secrets after all; the others are spans of kind random. Short strings, that no test could reject, need MIN_BITS.
+under it four tests ask whether it looks drawn at random: chi-squared of the alphabet's uniformity, the same over pools of letters
+(so few letters in a string still fill the cells), runs of vowels, and serial correlation. Fisher's method combines them.
+
+What is reported must stand out from strings that people write. For each encoding and class of lengths that the corpus has, DECOYS
+identifiers are made of ordinary words, digits and separators in that encoding and length; the share of them that look at least
+as random is a string's p under "ordinary", with an exponential tail beyond the most random twentieth of them. The Benjamini-Hochberg rule over all the corpus's strings then bounds the expected
+share of ordinary ones among the reported by FALSE_DISCOVERY. A reported string must also pass the battery itself at BATTERY.
+
+Not tested: strings under MIN_BITS bits, where the tests have no power, and those of letters of one case. Texts are read whole,
+however long; a candidate of any length is tested in blocks, in time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagefold.llm.common import fresh, written
@@ -23,8 +31,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 MIN_ASSIGN = 8
-#: A random string carries at least this many bits under its encoding; rate of secrets among the rejected.
-MIN_BITS, FALSE_DISCOVERY = 100, 0.01
+#: A random string carries at least this many bits under its encoding; rate of ordinary strings among the reported; p of randomness from which the battery passes.
+MIN_BITS, FALSE_DISCOVERY, BATTERY = 100, 0.01, 1e-4
 _D, _L, _U = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings in the order they are tried: name, pattern of the whole string, alphabet.
 ENCODINGS = (
@@ -33,11 +41,36 @@ ENCODINGS = (
     ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _U + _D[2:8]),
     ("base36", r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", _D + _L),
     ("BASE36", r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", _D + _U),
+    ("base52", r"^(?=.*[a-z])(?=.*[A-Z])[a-zA-Z]+$", _U + _L),
     ("base62", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9a-zA-Z]+$", _U + _L + _D),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9a-zA-Z+/]+$", _U + _L + _D + "+/"),
     ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9a-zA-Z_-]+$", _U + _L + _D + "-_"),
 )
-LEAST_P, BINS = 1e-12, 50
+#: Pools of letters whose shares are compared with the alphabet's, and the characters whose runs are counted, with all others.
+POOLS = (_D, "etaoinsrETAOINSR", "bcdfghjklmpquvwxyz", "BCDFGHJKLMPQUVWXYZ", "+/-_")
+_ALL = _D + _L + _U + "+/-_"
+_RUNS = "".join("1" if c in "aeiouAEIOU01234" else "0" for c in _ALL)
+LEAST_P, LEAST_COMBINED, BINS, BLOCK = 1e-40, 1e-100, 20, 512
+#: Decoys for each encoding and class of lengths; classes are half octaves, from LEAST_LENGTH on, the last one open; share of the decoys that the tail is fitted to.
+DECOYS, LEAST_LENGTH, LAST_CLASS, TAIL = 2_000, 20, 14, 0.05
+# Words that decoys are made of; for each encoding their case (lower, UPPER, Title), separators, and the digits put in.
+WORDS = """account action active address admin agent alias amount api app archive array asset async attribute audit author avatar backup balance base batch
+billing block body bonus branch brand browser bucket budget buffer build bundle button cache calendar call campaign cancel card cart catalog category center
+change channel chart chat check child city class client clock cloud cluster code color column comment company config connect console contact content context
+control copy count country coupon create credit currency current custom daily data database date debug default delete delivery demo deploy design detail device
+digest direct display document domain download draft driver edit element email employee enable engine entity entry error event export factory feature field file
+filter final first flag folder font form format frame function game gateway general get global graph group guide handler hash header health height history home
+host hotel http icon image import index info input install instance invoice item job key label language layer layout level library license limit line link list
+load local location lock log login main manager map market match media member memory menu merge message meta method metric mobile mode model module monitor month
+name network next node note notify number object offer online option order origin output owner package page panel parent parse partner path patient payment
+permission person phone photo plan platform player plugin point policy pool port position post prefix price primary print private process product profile project
+property provider proxy public purchase query queue quick random range rate reader record refresh region register release remote remove render report request
+reset resource response result return review role root route rule sample save schedule schema school score screen script search season second secure select
+sensor series server service session setting setup share shop sign simple site size social sort source stage start state static status step stock storage store
+stream string student style submit summary support switch system table tag target task team template test text theme thread ticket time title token tool topic
+total track traffic transfer tree trigger type union unit update upload user utility value vendor version video view virtual wallet warning weather web widget
+width window word work year zone""".split()
+STYLES = {"hex": None, "HEX": None, "base32": ("UPPER", "", "234567"), "base36": ("lower", "", _D), "BASE36": ("UPPER", "", _D), "base52": ("Title", "", ""), "base62": ("Title", "", _D), "base64": ("Title", "/", _D), "base64url": ("Title", "_-", _D)}
 MASK = "<SECRET>"
 
 
@@ -64,51 +97,74 @@ def _pairs(xs: Column, f) -> Column:
     return _total(F.zip_with(F.slice(xs, 1, F.size(xs) - 1), F.slice(xs, 2, F.size(xs) - 1), f))
 
 
-def uniformity(codes: Column, k: Column, n: Column) -> Column:
-    """p of chi-squared over the alphabet, one-sided, by Wilson and Hilferty."""
-    square = _total(F.transform(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2))))
-    v = 2 / (9 * (k - 1))
-    z = (F.pow(F.greatest(square * k / n - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - v)) / F.sqrt(v)
-    return let(z, lambda z: F.when(z > 0, normal_p(z) / 2).otherwise(1 - normal_p(z) / 2))
+def _upper_tail(square: Column, freedom: Column) -> Column:
+    """p of a chi-squared value, by Wilson and Hilferty; no freedom: 1."""
+    v = 2 / (9 * freedom)
+    z = (F.pow(F.greatest(square, F.lit(0.0)) / freedom, F.lit(1 / 3)) - (1 - v)) / F.sqrt(v)
+    return F.when(freedom > 0, let(z, lambda z: F.when(z > 0, normal_p(z) / 2).otherwise(1 - normal_p(z) / 2))).otherwise(1.0)
+
+
+def uniformity(s: Column, alphabet: Column, n: Column, k: Column) -> Column:
+    """p of chi-squared over the alphabet's k characters. A count is what a string of n loses without the character, so no array of the string is made."""
+    count = lambda c: (n - F.length(F.replace(s, c, F.lit("")))).cast("double")
+    square = _total(F.transform(F.split(alphabet, "", -1), lambda c: F.pow(count(c), F.lit(2))))
+    return _upper_tail(square * k / n - n, k - 1)
+
+
+def evenness(s: Column, alphabet: Column, n: Column, k: Column) -> Column:
+    """p of chi-squared over POOLS, each expected to have its share of the alphabet."""
+    pool = lambda p: F.struct((n - F.length(F.translate(s, p, ""))).cast("double").alias("seen"), ((k - F.length(F.translate(alphabet, p, ""))) / k).alias("share"))
+    pools = F.filter(F.array(*map(pool, POOLS)), lambda x: x["share"] > 0)
+    square = lambda x: F.pow(x["seen"] - n * x["share"], F.lit(2)) / (n * x["share"])
+    return let(pools, lambda xs: _upper_tail(_total(F.transform(xs, square)), (F.size(xs) - 1).cast("double")))
 
 
-def runs(codes: Column, k: Column, n: Column) -> Column:
-    """p of the number of runs over the two halves of the alphabet; all of one half: null."""
+def runs(s: Column, n: Column) -> Column:
+    """p of the number of runs of the characters marked in _RUNS and of others; all of one kind: null."""
+    lost = lambda b, x: (n - F.length(F.replace(b, F.lit(x), F.lit("")))).cast("double")
 
-    def of(high: Column) -> Column:
-        ones = _total(high)
+    def of(b: Column) -> Column:
         mean = lambda o: 2 * o * (n - o) / n + 1
-        z = lambda m: F.try_divide(1 + _pairs(high, lambda a, b: (a != b).cast("double")) - m, F.sqrt((m - 1) * (m - 2) / (n - 1)))
-        return let(ones, lambda o: F.when((o > 0) & (o < n), normal_p(let(mean(o), z))))
+        found = 1 + lost(b, "01") / 2 + lost(b, "10") / 2
+        z = lambda m: F.try_divide(found - m, F.sqrt((m - 1) * (m - 2) / (n - 1)))
+        return let(lost(b, "1"), lambda o: F.when((o > 0) & (o < n), normal_p(let(mean(o), z))))
 
-    return let(F.transform(codes, lambda x: (x * 2 >= k).cast("double")), of)
+    return let(F.translate(s, _ALL, _RUNS), of)
 
 
-def correlation(codes: Column, n: Column) -> Column:
-    """p of the circular serial correlation; all alike: null."""
+def correlation(s: Column, n: Column) -> Column:
+    """p of the serial correlation of the characters' codes, of pairs inside blocks; all alike: null."""
 
-    def of(xs: Column) -> Column:
-        lag = _pairs(xs, lambda a, b: a * b) + F.element_at(xs, 1) * F.element_at(xs, -1)
-        sums = F.struct(_total(xs).alias("s1"), _total(F.transform(xs, lambda x: x * x)).alias("s2"), lag.alias("lag"))
-        r = let(sums, lambda s: F.try_divide(n * s["lag"] - s["s1"] * s["s1"], n * s["s2"] - s["s1"] * s["s1"]))
-        return normal_p((r + 1 / (n - 1)) / F.sqrt(n * n / ((n - 1) * (n - 1) * (n - 2))))
+    def block(xs: Column) -> Column:
+        ends = F.element_at(xs, 1) + F.element_at(xs, -1)
+        return F.struct(_total(xs).alias("s1"), _total(F.transform(xs, lambda x: x * x)).alias("s2"), _pairs(xs, lambda a, b: a * b).alias("lag"), ends.alias("ends"), (F.size(xs) - 1).cast("double").alias("pairs"))
 
-    return let(F.transform(codes, lambda x: x.cast("double")), of)
+    codes = lambda t: F.transform(F.split(t, "", -1), lambda c: F.ascii(c).cast("double"))
+    blocks = F.transform(F.regexp_extract_all(s, F.lit(rf".{{1,{BLOCK}}}"), F.lit(0)), lambda t: let(codes(t), block))
+    add = lambda b, f: _total(F.transform(b, lambda x: x[f]))
+    sums = lambda b: F.struct(*(add(b, f).alias(f) for f in ("s1", "s2", "lag", "ends", "pairs")))
 
+    def r(t: Column) -> Column:
+        m = t["s1"] / n
+        return F.try_divide(t["lag"] - m * (2 * t["s1"] - t["ends"]) + t["pairs"] * m * m, t["s2"] - n * m * m)
 
-def randomness(codes: Column, k: Column) -> Column:
-    """p of codes (numbers below k) being random: the three tests, by Fisher's method. A test that is undefined gives LEAST_P."""
+    return let(blocks, lambda b: let(sums(b), lambda t: normal_p((r(t) + 1 / n) * F.sqrt(n))))
 
-    def of(n: Column) -> Column:
-        ps = F.array(uniformity(codes, k, n), runs(codes, k, n), correlation(codes, n))
+
+def randomness(s: Column, alphabet: Column) -> Column:
+    """p of a string being drawn from the alphabet at random: the tests, by Fisher's method. A test that is undefined gives LEAST_P."""
+
+    def of(d: Column) -> Column:
+        n, k = d["n"], d["k"]
+        ps = F.array(uniformity(s, alphabet, n, k), evenness(s, alphabet, n, k), runs(s, n), correlation(s, n))
         x = -_total(F.transform(ps, lambda p: F.ln(F.greatest(F.coalesce(p, F.lit(LEAST_P)), F.lit(LEAST_P)))))
-        return let(x, lambda x: F.greatest(F.lit(LEAST_P), F.least(F.lit(1.0), F.exp(-x) * (1 + x + x * x / 2))))
+        return let(x, lambda x: F.greatest(F.lit(LEAST_COMBINED), F.least(F.lit(1.0), F.exp(-x) * (1 + x + x * x / 2 + x * x * x / 6))))
 
-    return let(F.size(codes).cast("double"), of)
+    return let(F.struct(F.length(s).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k")), of)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column found: struct of base (spans) and odd (candidate strings that no base span touches: span, p, length class).
+    """docs with a column found: struct of base (spans) and odd (candidate strings that no base span touches: span, p, encoding, class of lengths).
 
     The name found gets underscores if docs has it. Null text is empty.
     """
@@ -127,7 +183,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(found, F.struct(base.alias("base"), odd.alias("odd"))).drop(*names)
 
 
-ODD = "array<struct<start:int,kind:int,end:int,p:double,class:int>>"
+ODD = "array<struct<start:int,kind:int,end:int,p:double,encoding:int,class:int>>"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -150,48 +206,116 @@ def _places(text: Column, pattern: str, matches: Column, kind: int, ok) -> Colum
     return F.when(F.size(matches) > 0, let(F.split(text, pattern, -1), walk)).otherwise(nothing)
 
 
-def _tested(text: Column, span: Column) -> Column:
-    """span with its p and its class of lengths (floor of the binary logarithm); p is null if no encoding fits or the string is too short."""
-
-    def judge(s: Column) -> Column:
-        alphabet = F.lit(None).cast("string")
-        for _, pattern, letters in reversed(ENCODINGS):
-            alphabet = F.when(s.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-        tested = lambda a: F.when(F.length(s) * F.log2(F.length(a)) >= MIN_BITS, let(_codes(s, a), lambda c: randomness(c, F.length(a).cast("double"))))
-        return F.struct(span["start"].alias("start"), span["kind"].alias("kind"), span["end"].alias("end"), let(alphabet, tested).alias("p"), F.floor(F.log2(F.length(s))).cast("int").alias("class"))
-
-    return let(F.substring(text, span["start"] + 1, span["end"] - span["start"]), judge)
+def length_class(s: Column) -> Column:
+    return F.least(F.floor(2 * F.log2(F.length(s))), F.lit(LAST_CLASS)).cast("int")
 
 
-def _codes(s: Column, alphabet: Column) -> Column:
-    return F.transform(F.split(s, "", -1), lambda c: F.instr(alphabet, c) - 1)
+def tested(s: Column) -> Column:
+    """Struct of a string's p, encoding (its number; null if none fits) and class; p is null without an encoding, or if the string is too short."""
+    number = F.lit(None).cast("int")
+    for k, (_, pattern, _) in reversed(list(enumerate(ENCODINGS))):
+        number = F.when(s.rlike(pattern), k).otherwise(number)
+    alphabet = lambda k: F.element_at(F.array(*(F.lit(x) for _, _, x in ENCODINGS)), k + 1)
+    p = lambda a: F.when(F.length(s) * F.log2(F.length(a)) >= MIN_BITS, randomness(s, a))
+    return let(number, lambda k: F.struct(F.when(k.isNotNull(), let(alphabet(k), p)).alias("p"), k.alias("encoding"), length_class(s).alias("class")))
 
 
-def cutoffs(found: DataFrame, column: str, rate: float = FALSE_DISCOVERY) -> dict[int, float]:
-    """By class of lengths, the largest p that is rejected. p is counted in BINS bins a decade, so a class has at most 600 rows here."""
+def _tested(text: Column, span: Column) -> Column:
+    """span with what tested() says of it."""
+    joined = lambda x: F.struct(span["start"].alias("start"), span["kind"].alias("kind"), span["end"].alias("end"), x["p"].alias("p"), x["encoding"].alias("encoding"), x["class"].alias("class"))
+    return let(F.substring(text, span["start"] + 1, span["end"] - span["start"]), lambda s: let(tested(s), joined))
+
+
+def decoys(spark: SparkSession, strata: list[tuple[int, int]], each: int = DECOYS) -> DataFrame:
+    """encoding, class, text of ordinary strings, each of them for every (encoding, class): words by a hash of the row's number, in the encoding's style, cut to a length of the class. Counters stand for hexadecimal."""
+    i = F.col("id")
+    pick = lambda n, *salt: F.pmod(F.xxhash64(i, *salt), F.lit(n)).cast("int")
+    letter = lambda letters, *salt: F.substring(F.lit(letters), 1 + pick(len(letters), *salt), F.lit(1))
+    words, out = F.array(*map(F.lit, WORDS)), F.lit(None).cast("string")
+    at = F.pmod(i, F.lit(len(strata))).cast("int")
+    rows = spark.range(each * len(strata)).withColumn("at", at).withColumn("stratum", F.element_at(F.array(*(F.struct(F.lit(e).alias("encoding"), F.lit(c).alias("class")) for e, c in strata)), F.col("at") + 1))
+    c = F.col("stratum.class")
+    low = F.greatest(F.ceil(F.pow(F.lit(2.0), c / 2)), F.lit(LEAST_LENGTH))
+    high = F.when(c == LAST_CLASS, F.lit(256)).otherwise(F.ceil(F.pow(F.lit(2.0), (c + 1) / 2)) - 1)
+    length = (low + F.pmod(F.xxhash64(i, F.lit(1)), F.greatest(high - low + 1, F.lit(1)))).cast("int")
+    for e in sorted({e for e, _ in strata}):
+        name = ENCODINGS[e][0]
+        if STYLES[name] is None:
+            step, first = 1 + pick(40, F.lit(2)), pick(1 << 30, F.lit(3))
+            parts = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.lpad(F.hex(first + k * step), 8, "0"))  # noqa: B023
+            made = F.array_join(parts, "")
+            made = F.lower(made) if name == "hex" else made
+        else:
+            case, separators, digits = STYLES[name]
+            word = lambda k: F.element_at(words, 1 + pick(len(WORDS), k, F.lit(4)))
+            cased = {"lower": word, "UPPER": lambda k: F.upper(word(k)), "Title": lambda k: F.when((k > 1) | (pick(2, F.lit(5)) == 0), F.initcap(word(k))).otherwise(word(k))}[case]  # noqa: B023
+            tail = (lambda k: F.when((k == 1) | (pick(4, k, F.lit(6)) == 0), letter(digits, k, F.lit(7))).otherwise("")) if digits else (lambda k: F.lit(""))  # noqa: E731, B023
+            between = letter(separators, F.lit(8)) if separators else F.lit("")
+            made = F.array_join(F.transform(F.sequence(F.lit(1), 1 + (length / 3).cast("int")), lambda k: F.concat(cased(k), tail(k), between)), "")  # noqa: B023
+        out = F.when(F.col("stratum.encoding") == e, made).otherwise(out)
+    return rows.select("stratum.*", F.substring(out, F.lit(1), length).alias("text"))
+
+
+def _bin(p: Column) -> Column:
+    """Bins of p, BINS a decade; more random strings have smaller ones."""
+    return F.floor(-F.log10(p) * BINS).cast("int")
+
+
+def ordinary_p(decoys: list[tuple[int, int]]) -> Callable[[int], float]:
+    """p of a bin under the decoys' (bin, count): the share of them in it or in smaller ones; below the TAIL quantile, an exponential with the mean excess there."""
+    decoys, total = sorted(decoys), sum(n for _, n in decoys)
+    upto = list(accumulate(n for _, n in decoys))
+    edge, share = next((b, u / total) for (b, _), u in zip(decoys, upto, strict=True) if u >= TAIL * total)
+    beyond = [(edge - b, n) for b, n in decoys if b < edge]
+    mean = sum(x * n for x, n in beyond) / sum(n for _, n in beyond) if beyond else 1.0
+
+    def p(b: int) -> float:
+        if b < edge:
+            return share * math.exp(-(edge - b) / mean)
+        return (1 + max((u for (x, _), u in zip(decoys, upto, strict=True) if x <= b), default=0)) / (1 + total)
+
+    return p
+
+
+def cutoffs(found: DataFrame, column: str, rate: float = FALSE_DISCOVERY) -> dict[tuple[int, int], int]:
+    """By encoding and class of lengths, the largest bin of p that is reported. Counts by bin come to the driver: 2001 rows at most for each encoding and class."""
     odd = found.select(F.explode(f"{column}.odd").alias("o")).select("o.*")
-    counts = odd.groupBy("class", F.floor(-F.log10("p") * BINS).cast("int").alias("bin")).count().collect()
-    out: dict[int, float] = {}
-    for cls in {r["class"] for r in counts}:
-        rows = sorted(((r["bin"], r["count"]) for r in counts if r["class"] == cls), reverse=True)
-        m, rank = sum(n for _, n in rows), 0
-        for b, n in rows:
-            rank += n
-            if 10 ** (-b / BINS) <= rate * rank / m:
-                out[cls] = 10 ** (-b / BINS)
+    counted = lambda df: df.groupBy("encoding", "class", _bin(F.col("p")).alias("bin")).count().collect()
+    mine = counted(odd)
+    strata = sorted({(r["encoding"], r["class"]) for r in mine})
+    if not strata:
+        return {}
+    # written between the steps, so that each string is made and tested once
+    made = written(decoys(found.sparkSession, strata), "decoys").select("encoding", "class", tested(F.col("text")).alias("t"))
+    fitting = written(made, "decoys").where("t.p is not null and t.encoding = encoding and t.class = class").select("encoding", "class", "t.p")
+    ordinary: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in counted(fitting):
+        ordinary.setdefault((r["encoding"], r["class"]), []).append((r["bin"], r["count"]))
+    null = {k: ordinary_p(some) for k, some in ordinary.items()}
+    ps = [(null.get((r["encoding"], r["class"]), lambda b: 1.0)(r["bin"]), r["count"], (r["encoding"], r["class"]), r["bin"]) for r in mine]
+    total, rank, limit = sum(n for _, n, _, _ in ps), 0, -1.0
+    ps.sort(key=lambda x: x[0])
+    for k, (p, n, _, _) in enumerate(ps):
+        rank += n
+        if (k + 1 == len(ps) or ps[k + 1][0] > p) and p <= rate * rank / total:
+            limit = p
+    passes = math.floor(-math.log10(BATTERY) * BINS)
+    out: dict[tuple[int, int], int] = {}
+    for p, _, stratum, b in ps:
+        if p <= limit and b < passes:
+            out[stratum] = max(b, out.get(stratum, b))
     return out
 
 
-def all_spans(found: Column, cut: dict[int, float]) -> Column:
-    """Base spans and the candidates that are not rejected, by start, then kind."""
-    limit = F.lit(-1.0)
+def all_spans(found: Column, cut: dict[tuple[int, int], int]) -> Column:
+    """Base spans and the candidates that are reported, by start, then kind."""
     plain = lambda o: F.struct(o["start"].alias("start"), o["kind"].alias("kind"), o["end"].alias("end"))
 
     def stays(o: Column) -> Column:
-        most = limit
-        for cls, p in sorted(cut.items()):
-            most = F.when(o["class"] == cls, F.lit(p)).otherwise(most)
-        return o["p"] > most
+        most = F.lit(-1)
+        for (encoding, cls), b in sorted(cut.items()):
+            most = F.when((o["encoding"] == encoding) & (o["class"] == cls), b).otherwise(most)
+        return _bin(o["p"]) <= most
 
     return F.array_sort(F.concat(found["base"], F.transform(F.filter(found["odd"], stays), plain)))
 
