@@ -4,10 +4,12 @@ A text is the set of its paragraphs' digests: a paragraph is a line, and a long
 ends past PIECE characters. The sketch has CELLS cells in three parts; a digest goes to one cell of each part, where it
 adds to a count and is folded by exclusive or into a key and a check. Two sketches subtract cell by cell; what both have
 cancels, and peeling cells that hold one digest recovers the digests that differ. If that stops early, larger sketches
-are tried: digests are dealt to groups of about GROUP by further bits, with CELLS cells for each; a group that fails still
-is dealt to four, up to RETRIES times. A group that fails then is compared digest by digest.
+are tried: digests are dealt to groups of about GROUP by further bits, with CELLS cells for each, and each group that does not peel
+is dealt to four by two more bits, again and again. After RETRIES rounds every bit of the digests has been used, so a group
+holds one digest, which always peels: the sketches alone recover every difference.
 
-Only DataFrame functions, and no explode: each document's work is on arrays in its row.
+Only DataFrame functions, and no explode: each document's work is on arrays in its row. A text of any length is read whole; its
+digests are held in its row, 8 bytes and some overhead each.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import shuffle_partitions
+from pagefold.llm.common import shuffle_partitions, text_partitions
 
-PIECE, SLOTS, GROUP, ROUNDS, RETRIES = 100, 8, 14, 12, 4
+PIECE, SLOTS, GROUP, ROUNDS, RETRIES = 100, 8, 14, 12, 32
 CELLS = 3 * SLOTS
 PARAGRAPH = rf"[^\n]{{1,{PIECE}}}+[^\n.!?]*+[.!?]*+\n*+|\n++"
 
@@ -90,40 +92,44 @@ def peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda s: F.when(empty(s["cells"]), s["out"]))
 
 
-def _difference(a: Column, b: Column) -> Column:
-    """How many digests of items a and b differ, by sketches of this size; null on failure."""
-    return let(peel(sketch(a, b)), lambda x: F.when(x.isNotNull(), F.size(x)))
+def _split(a: Column, b: Column, n: Column, at: Column) -> Column:
+    """Two sides' items in n groups (a power of two), by the digests' bits from at on."""
+    mine = lambda xs, i: F.filter(xs, lambda x: F.call_function("shiftrightunsigned", x["key"], at).bitwiseAND((n - 1).cast("long")) == i.cast("long"))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(mine(a, i).alias("a"), mine(b, i).alias("b")))
 
 
-def _dealt(a: Column, b: Column, bits: Column, shift: int, f) -> Column:
-    """Sum of f over the two sides' 2 ** bits groups, by the digests' bits from shift on. Past eight groups items are dealt in two steps, so that the work grows little faster than the sets."""
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+def _dealt(a: Column, b: Column, bits: Column) -> Column:
+    """The two sides in 2 ** bits groups. Past eight groups items are dealt in two steps, so that the work grows little faster than the sets."""
     two = lambda n: F.element_at(F.array(*(F.lit(1 << k) for k in range(24))), n + 1)
+    fine = lambda k, n: lambda g: _split(g["a"], g["b"], two(n - k), F.lit(9) + k)
+    steps = lambda s: F.flatten(F.transform(_split(a, b, two(s["first"]), F.lit(9)), fine(s["first"], s["bits"])))
+    first = lambda n: F.struct(n.alias("bits"), F.when(n > 3, F.shiftright(n, 1)).otherwise(0).alias("first"))
+    return let(F.least(bits, F.lit(40)), lambda n: let(first(n), steps))
 
-    def groups(a: Column, b: Column, n: Column, at: Column, f) -> Column:
-        mine = lambda xs, i: F.filter(xs, lambda x: F.call_function("shiftrightunsigned", x["key"], at).bitwiseAND((n - 1).cast("long")) == i.cast("long"))
-        each = lambda i: let(F.struct(mine(a, i).alias("a"), mine(b, i).alias("b")), lambda g: f(g["a"], g["b"]))
-        return add(F.transform(F.sequence(F.lit(0), n - 1), each))
 
-    def outer(s: Column) -> Column:
-        first = F.when(s["bits"] > 3, F.shiftright(s["bits"], 1)).otherwise(0)
-        inner = lambda k: lambda x, y: groups(x, y, two(s["bits"] - k), F.lit(shift) + k, f)
-        return let(first, lambda k: groups(a, b, two(k), F.lit(shift), inner(k)))
-
-    return let(F.struct(F.least(bits, F.lit(40)).alias("bits")), outer)
+DIGESTS = "array<struct<key:bigint,n:int>>"
 
 
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """How many digests differ between items a and b, whose sketches are cells_a and cells_b: from these, else from larger ones."""
-    keys = lambda xs: F.transform(xs, lambda x: x["key"])
-    exact = lambda x, y: F.size(F.array_except(keys(x), keys(y))) + F.size(F.array_except(keys(y), keys(x)))
+    """Struct of the digests (key, n: 1 or -1 for the side) that differ between items a and b, whose sketches are cells_a and cells_b, and the level that gave them: 0 these sketches, 1 larger ones, 2 and more as many groups dealt again."""
+    bits = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(a) + F.size(b)) / GROUP))).cast("int")
+    start = F.struct(_dealt(a, b, bits).alias("groups"), F.array().cast(DIGESTS).alias("out"), F.lit(0).alias("level"))
 
-    def again(retry: int):
-        larger = lambda x, y: _dealt(x, y, F.lit(2), 40 + 2 * retry, again(retry + 1)) if retry < RETRIES else exact(x, y)
-        return lambda x, y: F.coalesce(_difference(x, y), larger(x, y))
+    def round_(state: Column, r: Column) -> Column:
+        tried = F.transform(state["groups"], lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), peel(sketch(g["a"], g["b"])).alias("found")))
+        again = lambda gs: F.flatten(F.transform(F.filter(gs, lambda g: g["found"].isNull()), lambda g: _split(g["a"], g["b"], F.lit(4), F.pmod(40 + 2 * r, F.lit(64)))))
+        found = lambda gs: F.flatten(F.transform(F.filter(gs, lambda g: g["found"].isNotNull()), lambda g: g["found"]))
+        next_ = lambda gs: F.struct(again(gs).alias("groups"), F.concat(state["out"], found(gs)).alias("out"), (r + 1).alias("level"))
+        return F.when(F.size(state["groups"]) == 0, state).otherwise(let(tried, next_))
 
-    bits = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(a) + F.size(b)) / GROUP))).cast("int")
-    return let(peel(subtract(cells_a, cells_b)), lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), _dealt(a, b, bits, 9, again(0))))
+    larger = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), start, round_, lambda s: F.struct(s["out"].alias("digests"), s["level"].alias("level")))
+    return let(peel(subtract(cells_a, cells_b)), lambda x: F.when(x.isNotNull(), F.struct(x.alias("digests"), F.lit(0).alias("level"))).otherwise(larger))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """difference() of two texts: the paragraphs' digests that only one of them has, and on which side."""
+    sides = F.struct(items(digests(F.coalesce(a, F.lit("")))).alias("a"), items(digests(F.coalesce(b, F.lit("")))).alias("b"))
+    return let(sides, lambda s: difference(s["a"], s["b"], sketch(s["a"]), sketch(s["b"])))
 
 
 def likeness(a: Column, b: Column, differ: Column) -> Column:
@@ -140,7 +146,7 @@ def as_text(cells: Column) -> Column:
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, text, bucket, at (order in the bucket's sort), halo for docs (doc_id, text), dealt so that each row's next row by doc_id is in its bucket.
 
-    Buckets are ranges of doc_id. A range's first row is also put, as halo 1, at the end of the range before, and the first row
+    Buckets are ranges of doc_id, by quantiles; rows of one doc_id are in one bucket, as their order is part of the result. A range's first row is also put, as halo 1, at the end of the range before, and the first row
     of all at the end of the last (halo 2). Null ids come first; rows of one id are in order of their text.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -168,22 +174,27 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text; others are left out) its fingerprint, that of its edited text, and their likenesses.
+    """For each row of docs (doc_id, text; others are left out) its fingerprint, that of its edited text, and their likenesses; also
+    how many digests differ, and the level of sketches that gave them.
 
     The edited text has the last quarter (rounded down) of the code points replaced by as many from the start of the next row's
     text, or all of that; the next row is that of the next larger doc_id, after the last the first, alone itself. Null text is empty:
     no digests, and like another empty text by 1. Repeated rows stay, in order of text within a doc_id; null ids come first.
     """
-    rows = with_next(docs, 2 * shuffle_partitions(docs.sparkSession))
+    rows = with_next(docs, text_partitions(docs, least=2 * shuffle_partitions(docs.sparkSession)))
     rows = rows.withColumn("keys", items(digests(F.col("text")))).withColumn("cells", sketch(F.col("keys")))
     order = W.partitionBy("bucket").orderBy("halo", F.asc_nulls_first("doc_id"), "text")
     rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "keys", "cells"))).where("halo = 0")
     n, tail = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail)))
     rows = rows.withColumn("edited_keys", items(digests(F.col("edited")))).withColumn("edited_cells", sketch(F.col("edited_keys")))
-    near = lambda other: likeness(F.col("keys"), F.col(f"{other}_keys"), difference(F.col("keys"), F.col(f"{other}_keys"), F.col("cells"), F.col(f"{other}_cells")))
+    for other in ("edited", "next"):
+        rows = rows.withColumn(f"{other}_found", difference(F.col("keys"), F.col(f"{other}_keys"), F.col("cells"), F.col(f"{other}_cells")))
+    differ = lambda other: F.size(f"{other}_found.digests")
+    near = lambda other: likeness(F.col("keys"), F.col(f"{other}_keys"), differ(other))
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("cells")).alias("fingerprint"), as_text(F.col("edited_cells")).alias("edited_fingerprint"),
         near("edited").alias("near_edited"), near("next").alias("near_next"),
+        *(x for o in ("edited", "next") for x in (differ(o).alias(f"{o}_differ"), F.col(f"{o}_found.level").alias(f"{o}_level"))),
     )

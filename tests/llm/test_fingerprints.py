@@ -60,3 +60,39 @@ def test_peeling_recovers_the_differing_digests(spark):
     keys = lambda c: F.transform(c, lambda x: F.xxhash64(x))
     found = df.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(fingerprints.items(keys(F.col("a")))), fingerprints.sketch(fingerprints.items(keys(F.col("b")))))).alias("x"), keys(F.array_except("a", "b")).alias("up"), keys(F.array_except("b", "a")).alias("down")).first()
     assert sorted((x.key, x.n) for x in found.x) == sorted([(k, 1) for k in found.up] + [(k, -1) for k in found.down])
+
+
+def test_sketches_alone_recover_every_difference(spark):
+    """Unlike texts of many sizes: the digests found are those that differ, whatever level that takes."""
+    r = random.Random(20)
+    piece = lambda k: f"paragraph {k} of some.\n"
+    rows = []
+    for n in (0, 1, 5, 15, 30, 60, 120, 700, 3000):
+        for share in (0.0, 0.3, 1.0):
+            a = [piece(k) for k in range(n)]
+            b = [piece(k if r.random() > share else k + 100_000) for k in range(n)]
+            rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string").repartition(4)
+    got = df.select("a", "b", fingerprints.differing(F.col("a"), F.col("b")).alias("x"), fingerprints.digests(F.col("a")).alias("p"), fingerprints.digests(F.col("b")).alias("q")).collect()
+    levels = set()
+    for x in got:
+        levels.add(x.x.level)
+        assert sorted((d.key, d.n) for d in x.x.digests) == sorted([(k, 1) for k in set(x.p) - set(x.q)] + [(k, -1) for k in set(x.q) - set(x.p)])
+    assert {0, 1} <= levels and max(levels) >= 2
+
+
+def test_digests_that_share_all_cells(spark):
+    """Keys equal in every bit but two are told apart after as many rounds as it takes."""
+    keys = [(1 << 63) - 1, (1 << 63) - 1 - (1 << 36), (1 << 63) - 1 - (1 << 37), 5, 5 | 1 << 38, 5 | 1 << 39]
+    df = spark.createDataFrame([(keys[:3], keys[3:]), (keys, []), ([], keys[:2])], "a array<long>, b array<long>")
+    side = lambda c: fingerprints.items(F.col(c))
+    got = df.select("a", "b", fingerprints.difference(side("a"), side("b"), fingerprints.sketch(side("a")), fingerprints.sketch(side("b"))).alias("x")).collect()
+    for x in got:
+        assert sorted((d.key, d.n) for d in x.x.digests) == sorted([(k, 1) for k in x.a] + [(k, -1) for k in x.b])
+    assert max(x.x.level for x in got) > 2
+
+
+def test_a_very_long_text(spark):
+    text = "".join(f"Sentence {k} says nothing much of note. " + ("\n" if k % 7 == 0 else "") for k in range(30_000))
+    rows = [(1, text), (2, text[:600_000] + "cut"), (3, None)]
+    check(fingerprints.fingerprint_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
