@@ -7,7 +7,8 @@ token is reached without decoding others, by reads of known places alone.
 
 A file holds the ids of a run of documents in ascending doc_id order:
 
-    "DACF" | version, levels, documents, ids, then place and size of each section | starts | level sections
+    "DACF" | version, levels, documents, ids, documents without doc_id (the first ones) | place and size of each section |
+    starts | doc_ids | level sections
 
 All numbers are little-endian. Names hold the task's attempt; the manifest names the files of finished attempts.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.llm.bpe import LETTERS, NUMBERS, PLAIN, SPACES, byte_letters
-from pagefold.llm.common import shuffle_partitions, small_batches, written
+from pagefold.llm.common import shuffle_partitions, small_batches, text_partitions, written
 
 MAGIC, END_ID, BLOCK = b"DACF", 0, 512
 #: Ids a file holds before the next is begun; a longer document has a file of its own.
@@ -74,8 +75,11 @@ def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
-def pack(starts: np.ndarray, doc_ids: np.ndarray, ids: np.ndarray) -> bytes:
-    """A file: starts (documents + 1 places of ids), doc_ids, and the ids."""
+HEAD = struct.Struct("<4sHHQQQ")
+
+
+def pack(starts: np.ndarray, doc_ids: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """A file: starts (documents + 1 places of ids), doc_ids (the first nulls of them stand for null), and the ids."""
     rest = np.asarray(ids, "<u4")
     sections = [np.asarray(starts, "<i8").tobytes(), np.asarray(doc_ids, "<i8").tobytes()]
     levels = 0
@@ -88,12 +92,12 @@ def pack(starts: np.ndarray, doc_ids: np.ndarray, ids: np.ndarray) -> bytes:
         if not more.any():
             break
         rest = rest[more] >> 8
-    size = len(MAGIC) + 20 + 16 * len(sections)
+    size = HEAD.size + 16 * len(sections)
     places, at = [], size
     for s in sections:
         places += [at, len(s)]
         at += len(s)
-    return MAGIC + struct.pack("<HHQQ", 1, levels, len(doc_ids), len(ids)) + struct.pack(f"<{len(places)}Q", *places) + b"".join(sections)
+    return HEAD.pack(MAGIC, 2, levels, len(doc_ids), len(ids), nulls) + struct.pack(f"<{len(places)}Q", *places) + b"".join(sections)
 
 
 class Reader:
@@ -101,11 +105,10 @@ class Reader:
 
     def __init__(self, src):
         self.src = src
-        head = self._read(0, 24)
-        if head[:4] != MAGIC:
+        magic, _, self.levels, self.documents, self.size, self.nulls = HEAD.unpack(self._read(0, HEAD.size))
+        if magic != MAGIC:
             raise ValueError("not a token file")
-        _, self.levels, self.documents, self.size = struct.unpack("<HHQQ", head[4:])
-        places = struct.unpack(f"<{2 * (2 + 3 * self.levels)}Q", self._read(24, 16 * (2 + 3 * self.levels)))
+        places = struct.unpack(f"<{2 * (2 + 3 * self.levels)}Q", self._read(HEAD.size, 16 * (2 + 3 * self.levels)))
         self.places = list(zip(places[::2], places[1::2], strict=True))
 
     def _read(self, at: int, n: int) -> bytes:
@@ -115,9 +118,10 @@ class Reader:
     def _part(self, section: int, at: int, n: int) -> bytes:
         return self._read(self.places[section][0] + at, min(n, self.places[section][1] - at))
 
-    def documents_at(self, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def documents_at(self, first: int, n: int) -> tuple[np.ndarray, pa.Array]:
         """(starts, n + 1 of them; doc_ids) of n documents from first on."""
-        return np.frombuffer(self._part(0, 8 * first, 8 * (n + 1)), "<i8"), np.frombuffer(self._part(1, 8 * first, 8 * n), "<i8")
+        names = np.frombuffer(self._part(1, 8 * first, 8 * n), "<i8")
+        return np.frombuffer(self._part(0, 8 * first, 8 * (n + 1)), "<i8"), pa.array(names, mask=np.arange(first, first + n) < self.nulls)
 
     def rank(self, level: int, i: int) -> int:
         """Ones before bit i of the level's bitmap."""
@@ -156,8 +160,9 @@ def write_ids(docs: DataFrame, folder: str, path: str, file_ids: int = FILE_IDS)
     """Encodes docs (doc_id, text; others are left out) into folder, in ascending doc_id order, END_ID after each.
 
     Returns the manifest: pid, k, file, documents, ids, first_id (ids in all files before it). Runs jobs.
-    Null text is empty: its end id alone. Null doc_ids are written as -1 << 63 and come first; rows that repeat a
-    doc_id stand next to each other, by text. The number of ids before a partition is summed from one row for each file.
+    Null text is empty: its end id alone. Rows without doc_id come first; rows that repeat a doc_id stand next to each other, by a
+    hash of their text, which also lets many of them lie in several partitions. Texts are encoded whole; ids of one document are in
+    one file, however many. The number of ids before a partition is summed from one row for each file.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -169,13 +174,13 @@ def write_ids(docs: DataFrame, folder: str, path: str, file_ids: int = FILE_IDS)
         store.create_dir(root, recursive=True)
         task, enc, k, total = TaskContext.get(), byte_encoder(path), 0, 0
         runs: list[np.ndarray] = []
-        names: list[int] = []
+        names: list[int | None] = []
 
         def flush() -> pa.RecordBatch:
             starts = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
             name = f"ids-{task.partitionId():05d}-{task.taskAttemptId()}-{k:05d}.dac"
             with store.open_output_stream(f"{root}/{name}", compression=None) as out:
-                out.write(pack(starts, np.array(names, np.int64), np.concatenate(runs)))
+                out.write(pack(starts, np.array([x or 0 for x in names], np.int64), np.concatenate(runs), names.count(None)))
             row = [[task.partitionId()], [k], [name], [len(names)], [int(starts[-1])]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["pid", "k", "file", "documents", "ids"])
 
@@ -192,9 +197,10 @@ def write_ids(docs: DataFrame, folder: str, path: str, file_ids: int = FILE_IDS)
         if runs:
             yield flush()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = written(dealt.mapInArrow(put, MANIFEST), "manifest")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    dealt = rows.repartitionByRange(text_partitions(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    files = written(dealt.select("doc_id", "text").mapInArrow(put, MANIFEST), "manifest")
     from pyspark.sql import Window as W
 
     before = files.groupBy("pid").agg(F.sum("ids").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)))
@@ -220,7 +226,7 @@ def read_documents(manifest: DataFrame, folder: str, step: int = 4096) -> DataFr
                         starts, names = r.documents_at(k, min(step, r.documents - k))
                         ids = r.run(int(starts[0]), int(starts[-1] - starts[0]))
                         crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts[:-1] - starts[0], starts[1:] - starts[0], strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(names, mask=names == -(1 << 63)), pa.array(starts[:-1] + first), pa.array(starts[1:] - starts[:-1]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([names, pa.array(starts[:-1] + first), pa.array(starts[1:] - starts[:-1]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("file", "first_id")
     return files.repartition(shuffle_partitions(manifest.sparkSession)).mapInArrow(get, CHECKED)

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import xxhash
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -37,13 +38,14 @@ def test_equals_library():
 
 def test_documents(spark):
     library = Tokenizer.from_file(PATH)
-    rows = [(5, "five words are in here"), (2, None), (2, "two"), (2, "two"), (None, "no id"), (-4, ""), (70, "Wörter und mehr " * 9000), (8, "日本 <|endoftext|>")]
+    rows = [(5, "five words are in here"), (2, None), (2, "two"), (2, "two"), (None, "no id"), (-4, ""), (-(1 << 63), "the smallest id"), (None, "nor here"), (70, "Wörter und mehr " * 9000), (8, "日本 <|endoftext|>")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, ids string").repartition(3)
     folder = scratch(spark, "t")
     manifest = tokenfile.write_ids(df, folder, PATH, file_ids=8)
     got = sorted(map(tuple, tokenfile.read_documents(manifest, folder, step=2).collect()), key=lambda x: x[1])
     want, start = [], 0
-    for doc, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    signed = lambda t: int.from_bytes(xxhash.xxh64_intdigest(t, 42).to_bytes(8, "big"), "big", signed=True)
+    for doc, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1] or ""))):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
         want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
