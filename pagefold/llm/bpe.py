@@ -82,6 +82,7 @@ class Automaton:
         self.last = {t.removesuffix(end): (i, self.column[i]) for i, t in self.labels.items() if self.occurs[i] and (not end or final(i))}
         inner = {t: (i, self.column[i]) for i, t in self.labels.items() if self.occurs[i] and not final(i)}
         self.heads = {t[:k]: (-1, 0) for t in inner for k in range(1, len(t))} | inner
+        self.longest = max(map(len, self.last), default=0)
         every = np.zeros(n, bool)
         every[[self.column[i] for i in self.labels if self.occurs[i]]] = True
         self.start = np.packbits(every, bitorder="little").tobytes()
@@ -155,11 +156,11 @@ class Automaton:
             return (whole[0],)
         if not word:
             return ()
-        heads, rows, last, n = self.heads, self.rows, self.last, len(word)
+        heads, rows, last, n, tail = self.heads, self.rows, self.last, len(word), len(word) - self.longest
         row, label, back = [self.start] + [b""] * n, [-1] * (n + 1), [-1] * (n + 1)
         for begin in range(n):
             here = row[begin]
-            if (found := last.get(word[begin:])) is not None and here[found[1] >> 3] >> (found[1] & 7) & 1:
+            if begin >= tail and (found := last.get(word[begin:])) is not None and here[found[1] >> 3] >> (found[1] & 7) & 1:
                 label[n], back[n] = found[0], begin
                 break
             for stop in range(begin + 1, n):

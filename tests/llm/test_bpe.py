@@ -43,6 +43,14 @@ def test_automaton_equals_merges():
             assert [auto.labels[i] for i in auto.encode(word)] == merged(word, merges), (word, merges)
 
 
+def test_a_very_long_word(library):
+    """A word of a million letters takes time in proportion to its length."""
+    r = random.Random(8)
+    enc = bpe.encoder(PATH)
+    for t in ("".join(r.choices("abcdefgh", k=200_000)), "a" * 1_000_000):
+        assert enc.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
 def merged(word, merges):
     out = list(word)
     for a, b in merges:
