@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.functions import catalog
-from pagefold.functions import validators as v
+from pagefold.functions.validators import confidence
+from pagefold.operators import joins
 from pagefold.operators import rows as r
+from pagefold.operators import spans as sp
 
 PAGE = ["docid", "page"]
-# Patterns of the code extractors, and labels that make a find sure.
-CODES = {
-    "bic": (2, v.BIC),
-    "account_num": (4, r"^\d{8,18}$"),
-    "bank_num": (4, r"^\d{8,18}$"),
-    "vendor_tax_id": (2, r"(?i)^([A-Z]{2}[A-Z0-9]{5,12}|\d{5,15})$"),
-    "customer_tax_id": (2, r"(?i)^([A-Z]{2}[A-Z0-9]{5,12}|\d{5,15})$"),
-    "vendor_registration_id": (2, r"(?i)^[A-Z0-9][\w\-./]{5,14}$"),
-    "customer_registration_id": (2, r"(?i)^[A-Z0-9][\w\-./]{5,14}$"),
-    "payment_reference": (2, r"(?i)^[A-Z0-9][\w\-./]{4,19}$"),
-    "document_id": (2, r"(?i)^(?=.*\d)[A-Z0-9][\w\-./]{2,19}$"),
-}
 DIGITS_FIRST = frozenset(catalog.FAMILIES["amount"] + catalog.FAMILIES["date"])
+ADDRESSES = frozenset(t for t in catalog.KILE if t.endswith("_address"))
+MOST, NORMAL, DIGITS, ALIKE, DIGITS_ALIKE, FORMAT, FORMAT_ALIKE, LINES = 20, 0.95, 0.9, 0.85, 0.88, 0.8, 0.7, 0.95
 
 
 @dataclass(frozen=True)
 class Found:
-    first: int
-    last: int
+    """Places of words in reading order, how sure, and by which step."""
+
+    places: tuple[int, ...]
     confidence: float
     method: str
 
@@ -42,110 +37,189 @@ def _nfkc(s: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", s).lower().split())
 
 
-def _digits(s: str) -> str:
-    return "".join(c for c in s if c.isdigit())
+def _code(s: str) -> str:
+    return _nfkc(s).replace(" ", "").translate(str.maketrans("ol", "01"))
 
 
-def _first(words: Sequence[str], most: int, test: Callable[[str], bool]) -> tuple[int, int] | None:
-    """The first, then shortest run whose text passes."""
-    for i in range(len(words)):
-        for n in range(1, min(most, len(words) - i) + 1):
-            if test(" ".join(words[i : i + n])):
-                return i, i + n - 1
-    return None
+def _digits(s: str) -> str:
+    return "".join(c for c in s if c.isdigit())
 
 
-def _equal(parts: Sequence[str], most: int, want: str) -> tuple[int, int] | None:
+def _equal(parts: Sequence[str], want: str, most: int) -> tuple[int, ...] | None:
     """The first, then shortest run of parts that give want one after another; a run ends where it is no longer a beginning of want."""
     for i in range(len(parts)):
         s = ""
-        for n in range(1, min(most, len(parts) - i) + 1):
-            s += parts[i + n - 1]
+        for k in range(i, min(i + most, len(parts))):
+            s += parts[k]
             if s == want:
-                return i, i + n - 1
+                return tuple(range(i, k + 1))
             if not want.startswith(s):
                 break
     return None
 
 
-def _best(words: Sequence[str], most: int, score: Callable[[str], float], least: float) -> tuple[int, int, float] | None:
-    best = None
-    for i in range(len(words)):
-        for n in range(1, min(most, len(words) - i) + 1):
-            s = score(" ".join(words[i : i + n]))
-            if s >= least and (best is None or s > best[2]):
-                best = i, i + n - 1, s
-    return best
+class Likest:
+    """The run of words most like a text, the first of equals. difflib's quick bounds pass over runs that can't be better."""
+
+    def __init__(self, query: str, least: float):
+        self.matcher = SequenceMatcher()
+        self.matcher.set_seq2(query)
+        self.best, self.run = math.nextafter(least, 0), None
+
+    def offer(self, texts: Iterable[str], run: tuple[int, int], weight: float = 1.0) -> None:
+        m = self.matcher
+        for text in texts:
+            m.set_seq1(text)
+            if m.real_quick_ratio() * weight > self.best and m.quick_ratio() * weight > self.best and (r := m.ratio() * weight) > self.best:
+                self.best, self.run = r, run
+
+    def found(self, factor: float, method: str) -> Found | None:
+        return None if self.run is None else Found(tuple(range(*self.run)), self.best * factor, method)
+
+
+class PageWords:
+    """A page's texts in reading order, with the forms the steps compare, made when first needed."""
+
+    def __init__(self, texts: Sequence[str], most: int = MOST):
+        self.texts, self.most = list(texts), most
+
+    @cached_property
+    def bare(self) -> list[str]:
+        return ["".join(t.split()) for t in self.texts]
+
+    @cached_property
+    def codes(self) -> list[str]:
+        return [_code(t) for t in self.texts]
+
+    @cached_property
+    def digits(self) -> list[str]:
+        return [_digits(t) for t in self.texts]
+
+    def runs(self) -> Iterator[tuple[int, int]]:
+        n = len(self.texts)
+        return ((i, k) for i in range(n) for k in range(i + 1, min(i + self.most, n) + 1))
+
+    def both(self, run: tuple[int, int]) -> tuple[str, str]:
+        """A run's words with spaces between, and without."""
+        some = self.texts[slice(*run)]
+        return " ".join(some), "".join(some)
+
+    def exact(self, query: str) -> Found | None:
+        """The same text, white space apart."""
+        run = _equal(self.bare, "".join(query.split()), self.most)
+        return run and Found(run, 1.0, "exact")
+
+    def exact_norm(self, query: str) -> Found | None:
+        """The same in compatibility forms and lower case, with o as 0 and l as 1."""
+        run = _equal(self.codes, _code(query), self.most)
+        return run and Found(run, NORMAL, "exact_norm")
+
+    def same_digits(self, query: str) -> Found | None:
+        """The same digits; else the run whose digits are most like the query's."""
+        want = _digits(query)
+        if not want:
+            return None
+        if run := _equal(self.digits, want, self.most):
+            return Found(run, DIGITS, "exact_norm")
+        likest = Likest(want, ALIKE)
+        for i, k in self.runs():
+            likest.offer(["".join(self.digits[i:k])], (i, k))
+        return likest.found(DIGITS_ALIKE, "fuzzy")
+
+    def fitting(self, query: str, fieldtype: str) -> Found | None:
+        """Of the runs that have the type's format, with spaces or without, the one most like the query by likeness times format."""
+        likest = Likest(_nfkc(query), FORMAT_ALIKE)
+        for run in self.runs():
+            texts = self.both(run)
+            fits = max(confidence(fieldtype, t) for t in texts)
+            if fits >= FORMAT:
+                likest.offer(map(_nfkc, texts), run, fits)
+        return likest.found(1.0, "format")
+
+    def fuzzy(self, query: str) -> Found | None:
+        likest = Likest(_nfkc(query), ALIKE)
+        for run in self.runs():
+            likest.offer(map(_nfkc, self.both(run)), run)
+        return likest.found(1.0, "fuzzy")
+
+    def line(self, query: str, fieldtype: str | None = None) -> Found | None:
+        """One line of text by the steps in turn. Amounts and dates go by their digits first, unless the very text is there."""
+        if not query.strip() or not self.texts:
+            return None
+        if fieldtype in DIGITS_FIRST and (found := self.same_digits(query)):
+            return self.exact(query) or found
+        return self.exact(query) or self.exact_norm(query) or (self.fitting(query, fieldtype) if fieldtype else None) or self.fuzzy(query)
+
+    def text(self, query: str, fieldtype: str | None = None) -> Found | None:
+        """A text; one of several lines, line by line: lines that are not found are skipped, all words of the others count, and the least confidence by .95."""
+        lines = [x.strip() for x in query.split("\n") if x.strip()]
+        if len(lines) <= 1:
+            return self.line(query, fieldtype)
+        found = [f for x in lines if (f := self.line(x, fieldtype))]
+        if not found:
+            return None
+        return Found(tuple(k for f in found for k in f.places), LINES * min(f.confidence for f in found), "multiline_" + "+".join(sorted({f.method for f in found})))
 
 
-def align_line(query: str, words: Sequence[str], fieldtype: str | None = None, fits: Callable[[str], float] | None = None, most: int = 20) -> Found | None:
-    """Where a text stands among a page's words.
+def align(queries: DataFrame, words: DataFrame, least: float = 0.5) -> DataFrame:
+    """docid, page, qid, ids (word_ids in the order found), confidence, method for queries (docid, page, qid, fieldtype, query), from least on.
 
-    In turn: the same text (1.0); for amounts and dates the same digits (.9), else the run most like by .85 or more (.88 of that); the same
-    after compatibility forms, or with o and l as 0 and 1 (.95); a run that fits the type's format and is like by .7 or more (their
-    product); any run like by .85 or more.
+    Words are taken in reading order. A page's words and its queries are one row, and a query that repeats is looked for once.
     """
-    like = lambda s: SequenceMatcher(None, _nfkc(s), _nfkc(query)).ratio()
-    bare = "".join(query.split())
-    if not bare:
-        return None
-    if f := _equal(["".join(w.split()) for w in words], most, bare):
-        return Found(*f, 1.0, "exact")
-    if fieldtype in DIGITS_FIRST and (d := _digits(query)):
-        if f := _equal([_digits(w) for w in words], most, d):
-            return Found(*f, 0.9, "digits")
-        if b := _best(words, most, like, 0.85):
-            return Found(b[0], b[1], b[2] * 0.88, "digits_fuzzy")
-    code = lambda s: _nfkc(s).replace(" ", "").translate(str.maketrans("ol", "01"))
-    if f := _first(words, most, lambda s: _nfkc(s) == _nfkc(query) or code(s) == code(query)):
-        return Found(*f, 0.95, "exact_norm")
-    if fits is not None and (b := _best(words, most, lambda s: like(s) * c if (c := fits(s)) >= 0.8 else 0.0, 0.7)):
-        return Found(*b, "format")
-    if b := _best(words, most, like, 0.85):
-        return Found(*b, "fuzzy")
-    return None
-
-
-def align_text(query: str, words: Sequence[str], fieldtype: str | None = None) -> Found | None:
-    """align_line for each line of the text; lines that are not found are skipped, the confidence is the least by .95."""
-    lines = [x for x in query.split("\n") if x.strip()]
-    found = [f for x in lines if (f := align_line(x, words, fieldtype))]
-    if len(lines) <= 1 or not found:
-        return found[0] if found else None
-    return Found(min(f.first for f in found), max(f.last for f in found), 0.95 * min(f.confidence for f in found), "multiline_" + "+".join(f.method for f in found))
-
-
-def align(queries: DataFrame, words: DataFrame, least: float = 0.5) -> DataFrame:
-    """docid, page, qid, first, last, confidence, method for queries (docid, page, qid, fieldtype, query). A page's words and its queries are one row, and a query that repeats is looked for once."""
-    pages = words.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "text"))), lambda x: x["text"]).alias("ws"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "word_id", "text")))
+    pages = r.reading_order(words, 100.0).groupBy(*PAGE).agg(ordered.alias("ws"))
 
     def work(batches) -> Iterator:
         import pandas as pd
 
         for b in batches:
             rows = []
-            for page in b.itertuples(index=False):
-                ws, known = list(page.ws), {}
-                for q in page.qs:
+            for row in b.itertuples(index=False):
+                page, known = PageWords([w["text"] for w in row.ws]), {}
+                for q in row.qs:
                     if (key := (q["query"], q["fieldtype"])) not in known:
-                        known[key] = align_text(key[0], ws, key[1])
+                        known[key] = page.text(*key)
                     if (f := known[key]) and f.confidence >= least:
-                        rows.append((page.docid, page.page, q["qid"], f.first, f.last, f.confidence, f.method))
-            yield pd.DataFrame(rows, columns=["docid", "page", "qid", "first", "last", "confidence", "method"])
+                        rows.append((row.docid, row.page, q["qid"], [int(row.ws[k]["word_id"]) for k in f.places], f.confidence, f.method))
+            yield pd.DataFrame(rows, columns=["docid", "page", "qid", "ids", "confidence", "method"])
 
     wanted = queries.where("query <> ''").groupBy(*PAGE).agg(F.collect_list(F.struct("qid", "fieldtype", "query")).alias("qs"))
     both = wanted.join(pages, PAGE).select(*PAGE, "qs", "ws")
-    return both.mapInPandas(work, "docid long, page int, qid long, first int, last int, confidence double, method string")
+    return both.mapInPandas(work, "docid long, page int, qid long, ids array<int>, confidence double, method string")
 
 
-def code_finds(words: DataFrame, fieldtype: str, labels: Sequence[str], radius: int = 3) -> DataFrame:
-    """docid, page, start, n, text, score of runs that have the type's pattern: 1 if a label stands within radius words before or after, else .7. One row for each text of a document."""
-    most, pattern = CODES[fieldtype]
-    near = r.has_label(words, labels, radius).select(*PAGE, F.col("word_id").alias("start"), "labelled")
-    runs = r.windows(words, most).withColumn("code", F.regexp_replace(F.upper("compact"), r"[\s]" if "num" not in fieldtype else r"[\s\-]", "")).where(F.col("code").rlike(pattern))
-    scored = runs.join(near, [*PAGE, "start"]).withColumn("score", F.when(F.col("labelled"), 1.0).otherwise(0.7))
-    best = scored.groupBy("docid", "code").agg(F.max(F.struct("score", (-F.col("page")).alias("p"), (-F.col("start")).alias("s"), (-F.col("n")).alias("m"))).alias("x"))
-    return best.select("docid", (-F.col("x.p")).alias("page"), (-F.col("x.s")).alias("start"), (-F.col("x.m")).alias("n"), F.col("code").alias("text"), "x.score")
+def text_fields(predictions: DataFrame, words: DataFrame, least: float = 0.75) -> DataFrame:
+    """predictions (docid, page, qid, query, and others) with left, top, right, bottom and matched: the box and text of the run that find_spans gives; those not found are dropped."""
+    found = sp.find_spans(predictions, words, least)
+    spans = found.select(*PAGE, "qid", F.sequence("first", "last").alias("word_ids"))
+    boxes = joins.union_of_words(spans, words, ["qid"]).withColumnRenamed("text", "matched")
+    return predictions.join(boxes, [*PAGE, "qid"])
+
+
+def resolve_boxes(values: DataFrame, regions: DataFrame, words: DataFrame, mode: str = "words", least: float = 0.75) -> DataFrame:
+    """docid, page, vid, l, t, r, b, how: a box for each value (docid, page, vid, value), or none.
+
+    The value's region is that of fuzzy_region (regions: docid, page, ord, text, l, t, r, b). Mode "region": the region's box, else the run of
+    the page's words most like the value. Mode "words": the run among the words whose centre the region holds, else the region's
+    box, else the page's run.
+    """
+    if mode not in ("region", "words"):
+        raise ValueError("mode must be region or words")
+    side = lambda how: [F.col(a).alias(b) for a, b in zip(("left", "top", "right", "bottom"), "ltrb", strict=True)] + [F.lit(how).alias("how")]
+    keys, box = [*PAGE, "vid"], ["l", "t", "r", "b", "how"]
+    matched = fuzzy_region(values, regions).join(regions.drop("text"), [*PAGE, "ord"]).select(*keys, "l", "t", "r", "b")
+    queries = values.select(*PAGE, F.col("vid").alias("qid"), F.col("value").alias("query"))
+    everywhere = text_fields(queries, words, least).select(*PAGE, F.col("qid").alias("vid"), *side("page"))
+    by_region = matched.withColumn("how", F.lit("region"))
+    steps = [by_region, everywhere]
+    if mode == "words":
+        inside = joins.words_in_boxes(words, matched)
+        found = sp.find_inside(values.join(matched.select(*keys), keys), inside, keys, least)
+        scoped = joins.union_of_words(found, words, ["vid"]).select(*keys, *side("words"))
+        steps = [scoped, by_region, everywhere]
+    ranked = reduce(DataFrame.unionByName, [s.select(*keys, *box, F.lit(k).alias("step")) for k, s in enumerate(steps)])
+    best = ranked.groupBy(*keys).agg(F.min(F.struct("step", *box)).alias("x"))
+    return best.select(*keys, *(F.col(f"x.{c}").alias(c) for c in box))
 
 
 def verify(candidates: DataFrame, texts: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -155,32 +157,65 @@ def directional(labels: DataFrame, words: DataFrame, reach: float = 0.2, row: fl
     return near.withColumn("rank", rank).where(F.col("rank") <= most).withColumn("score", F.greatest(F.lit(0.1), 0.75 - 2 * F.col("dist")))
 
 
-def neighbours(spans: DataFrame, words: DataFrame, row: float = 0.045) -> DataFrame:
-    """For each span (docid, page, span_id, l, t, r, b, word_ids) the text of the nearest word to the left, right, above and below; "" where there is none.
+SURROUNDINGS = "left_text string, right_text string, above_text string, below_text string, label string, dist double"
+#: Pairs of a span and a word that a task compares at a time.
+PAIRS = 1 << 21
+
 
-    Left and right are on the same row: centres at most row apart in height. Above and below are those out of the row. The first is taken on a tie.
+def surroundings(spans: DataFrame, words: DataFrame, vocabulary: Sequence[str], row: float = 0.045, most: float = 2.0) -> DataFrame:
+    """docid, page, span_id and what stands around each span (docid, page, span_id, l, t, r, b, word_ids): the texts of the nearest words to its left, right, above and below, "" where there is none, and the nearest word of the vocabulary with the distance of centres (most where there is none, and at most that).
+
+    A word is on the span's row if their middles are at most row apart in height. On the row, left of the span are words whose middle is left of its
+    left edge, nearest by the gap between edges; right, above and below likewise, these two off the row. The first word is taken on a tie; a span's own
+    words don't count. A page's words and spans are arrays in one row, and a task compares them as matrices, PAIRS at a time.
     """
-    x, y = g.centre(g.box())
-    sx, sy = g.centre(g.box("", SHORT))
-    both = spans.join(words, PAGE).where(~F.array_contains("word_ids", F.col("word_id")))
-    level = F.abs(y - sy) <= row
-    cases = {"left_text": (level & (x < sx), sx - x), "right_text": (level & (x > sx), x - sx), "above_text": (~level & (y < sy), sy - y), "below_text": (~level & (y > sy), y - sy)}
-    nearest = [F.min_by(F.when(test, F.col("text")), F.when(test, F.struct(dist, F.col("word_id")))).alias(n) for n, (test, dist) in cases.items()]
-    found = both.groupBy(*PAGE, "span_id").agg(*nearest)
-    return spans.select(*PAGE, "span_id").join(found, [*PAGE, "span_id"], "left").fillna("", list(cases))
+    cols = ("word_id", "text", "left", "top", "right", "bottom")
+    pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("x")).select(*PAGE, *(F.col("x")[k].alias(k) for k in cols))
+    names = ("span_id", *SHORT, "word_ids")
+    mine = spans.groupBy(*PAGE).agg(F.collect_list(F.struct(*names)).alias("x")).select(*PAGE, *(F.col("x")[k].alias(f"{k}_") for k in names))
+    known = frozenset(vocabulary)
+
+    def work(batches) -> Iterator:
+        for batch in batches:
+            yield from (_around(page, known, row, most) for page in batch.itertuples(index=False))
+
+    kind = f"docid {spans.schema['docid'].dataType.simpleString()}, page int, span_id int, {SURROUNDINGS}"
+    return mine.join(pages, PAGE).mapInPandas(work, kind)
+
+
+def _around(page, known: frozenset[str], row: float, most: float):
+    text = np.append(np.asarray(page.text, object), "")  # the last stands for none
+    left, top, right, bottom = (np.asarray(x, float) for x in (page.left, page.top, page.right, page.bottom))
+    x, y, ids = (left + right) / 2, (top + bottom) / 2, np.asarray(page.word_id)
+    clean = np.array([str(t).strip().lower() for t in page.text], object)
+    said = np.array([c in known for c in clean], bool)
+    l, t, r, b = (np.asarray(v, float)[:, None] for v in (page.l_, page.t_, page.r_, page.b_))
+    out: dict[str, list] = {n.split()[0]: [] for n in SURROUNDINGS.split(", ")}
+    step = max(1, PAIRS // max(len(ids), 1))
+    for k in range(0, len(l), step):
+        at = slice(k, k + step)
+        own = np.array([np.isin(ids, w) for w in page.word_ids_[at]]).reshape(-1, len(ids))
+        level = np.abs(y - (t[at] + b[at]) / 2) <= row
+        cases = {"left_text": (level & (x < l[at]), l[at] - right), "right_text": (level & (x > r[at]), left - r[at]), "above_text": (~level & (y < t[at]), t[at] - bottom), "below_text": (~level & (y > b[at]), top - b[at])}
+        for name, (test, gap) in cases.items():
+            gap = np.where(test & ~own, gap, np.inf)
+            first = gap.argmin(axis=1)
+            out[name] += text[np.where(np.isfinite(gap.min(axis=1)), first, len(ids))].tolist()
+        dist = np.where(said & ~own, np.sqrt((x - (l[at] + r[at]) / 2) ** 2 + (y - (t[at] + b[at]) / 2) ** 2), np.inf)
+        first, least = dist.argmin(axis=1), dist.min(axis=1)
+        out["label"] += np.where(np.isfinite(least), clean[first], "").tolist()
+        out["dist"] += np.minimum(least, most).tolist()
+    return pd.DataFrame({"docid": page.docid, "page": page.page, "span_id": np.asarray(page.span_id_), **out})
+
+
+def neighbours(spans: DataFrame, words: DataFrame, row: float = 0.045) -> DataFrame:
+    """docid, page, span_id, left_text, right_text, above_text, below_text of surroundings()."""
+    return surroundings(spans, words, (), row).drop("label", "dist")
 
 
 def nearest_label(spans: DataFrame, words: DataFrame, vocabulary: Sequence[str], most: float = 2.0) -> DataFrame:
-    """For each span the nearest word of the vocabulary by distance of centres (at most `most`, which is also the distance of none)."""
-    x, y = g.centre(g.box())
-    sx, sy = g.centre(g.box("", SHORT))
-    clean = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    known = words.withColumn("label", clean).where(F.col("label").isin(list(vocabulary)))
-    both = spans.join(known, PAGE).where(~F.array_contains("word_ids", F.col("word_id")))
-    dist = F.sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy))
-    found = both.groupBy(*PAGE, "span_id").agg(F.min(F.struct(dist.alias("dist"), "word_id", "label")).alias("x"))
-    out = spans.select(*PAGE, "span_id").join(found, [*PAGE, "span_id"], "left")
-    return out.select(*PAGE, "span_id", F.coalesce("x.label", F.lit("")).alias("label"), F.least(F.coalesce("x.dist", F.lit(most)), F.lit(most)).alias("dist"))
+    """docid, page, span_id, label, dist of surroundings()."""
+    return surroundings(spans, words, vocabulary, most=most).select(*PAGE, "span_id", "label", "dist")
 
 
 def replace_by_iou(old: DataFrame, new: DataFrame, threshold: float = 0.5) -> DataFrame:

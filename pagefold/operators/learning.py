@@ -8,20 +8,84 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagefold.functions import geometry
+from pagefold.operators import analysis, joins, refine
+from pagefold.operators import spans as sp
+
+PAGE = ["docid", "page"]
+
 # Words near a span that say what it is.
 LABELS = """invoice bill total amount due date address name number no code tax vat net gross bank account iban bic swift customer vendor buyer order reference
 payment terms billing delivery email registration currency quantity price unit discount rate description subtotal balance""".split()
-SCALARS = ("l", "t", "width", "height", "n_words", "n_chars", "digits", "letters", "capitals", "has_digit", "as_amount", "as_date", "as_iban")
+# What a span's text looks like.
+IBAN, CURRENCY = r"(?U)\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", "[$€£¥₹₽₩₪₦₴₺₱฿]"
+DATE = r"(?iU)\b\d{1,4}[-./]\d{1,2}[-./]\d{1,4}\b|\b\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{2,4}\b"
+AMOUNT = r"(?U)[$€£¥₹₽]?\s*\d[\d,.\s]*\d|\d[\d,.\s]*\d\s*[$€£¥₹₽%]"
+NEIGHBOURS = ("left_text", "right_text", "above_text", "below_text")
+ATTRIBUTES = ("text", "char_count", "word_count", "has_digits", "digit_ratio", "has_letters", "has_currency", "like_iban", "like_date", "like_amount", "left", "top", "width", "height", *NEIGHBOURS, "label", "dist")
+
+
+def attributes(spans: DataFrame, words: DataFrame) -> DataFrame:
+    """docid, page, span_id and the ATTRIBUTES of spans (docid, page, span_id, word_ids): text and its looks, box, neighbours, the nearest label and how far it is. Spans without known words are left out."""
+    held = refine.span_words(spans.select(*PAGE, "span_id", "word_ids"), words)
+    side = lambda f, c: f(F.transform("ws", lambda w: w[c]))
+    box = [side(F.array_min, "left").alias("l"), side(F.array_min, "top").alias("t"), side(F.array_max, "right").alias("r"), side(F.array_max, "bottom").alias("b")]
+    spread = held.select(*PAGE, "span_id", "word_ids", F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("text"), F.size("ws").alias("word_count"), *box)
+    around = joins.surroundings(spread.select(*PAGE, "span_id", "word_ids", "l", "t", "r", "b"), words, LABELS)
+    digits = F.length(F.regexp_replace("text", r"(?U)\D", ""))
+    looks = {
+        "char_count": F.length("text"), "has_digits": digits > 0, "digit_ratio": digits / F.greatest(F.length("text"), F.lit(1)), "has_letters": F.col("text").rlike(r"\p{L}"), "has_currency": F.col("text").rlike(CURRENCY),
+        "like_iban": F.replace(F.upper("text"), F.lit(" "), F.lit("")).rlike(IBAN), "like_date": F.col("text").rlike(DATE), "like_amount": F.col("text").rlike(AMOUNT),
+        "left": F.col("l"), "top": F.col("t"), "width": F.col("r") - F.col("l"), "height": F.col("b") - F.col("t"),
+    }
+    return spread.withColumns(looks).join(around, [*PAGE, "span_id"]).select(*PAGE, "span_id", *ATTRIBUTES)
+
+
+def vector(labels: Sequence[str] = LABELS) -> Column:
+    """Of ATTRIBUTES an array of 15 numbers of the span, 4 of each of 4 neighbours, and which of labels is nearest: 71 with the usual labels."""
+    number = lambda c: F.col(c).cast("double")
+    most = lambda x, n: F.least(x.cast("double") / n, F.lit(1.0))
+    own = [most(F.col("char_count"), 100), most(F.col("word_count"), 10), number("has_digits"), number("digit_ratio"), *map(number, ("has_letters", "has_currency", "like_iban", "like_date", "like_amount", "left", "top", "width", "height")), most(F.col("dist"), 2), (F.col("top") < 0.33).cast("double")]
+
+    def near(c: str) -> list[Column]:
+        digits = F.length(F.regexp_replace(c, r"(?U)\D", "")) / F.greatest(F.length(c), F.lit(1))
+        return [most(F.length(c), 30), digits, F.col(c).rlike(CURRENCY).cast("double"), F.lower(F.trim(F.col(c))).isin(list(labels)).cast("double")]
 
+    return F.array(*own, *(x for c in NEIGHBOURS for x in near(c)), *((F.col("label") == x).cast("double") for x in labels))
 
-def vectors(features: DataFrame, labels: DataFrame, keys: Sequence[str] = ("docid", "page", "span_id")) -> DataFrame:
-    """keys, features: the scalars, the nearest label's distance, and which of LABELS it is (labels: keys, label, dist)."""
-    hot = [(F.col("label") == x).cast("double") for x in LABELS]
-    every = F.array(*(F.col(c).cast("double") for c in SCALARS), F.col("dist").cast("double"), *hot)
-    return features.join(labels, list(keys)).select(*keys, array_to_vector(every).alias("features"))
+
+def training_set(fields: DataFrame, words: DataFrame, fieldtype: str, per_page: int = 5) -> DataFrame:
+    """docid, page, span_id, features, label for one type: 1 for the words in each of its annotations (docid, page, fieldtype, l, t, r, b; centres within .005 count), 0 for per_page runs of each page that hold none of these words."""
+    own = fields.where(F.col("fieldtype") == fieldtype).select(*PAGE, "l", "t", "r", "b").distinct()
+    held = joins.words_in_boxes(words, own, 0.005)
+    positive = held.groupBy(*PAGE, "l", "t", "r", "b").agg(F.sort_array(F.collect_list("word_id")).alias("word_ids")).select(*PAGE, "word_ids", F.lit(1).alias("y"))
+    runs = sp.negative_spans(held.select(*PAGE, "word_id").distinct(), words, per_page)
+    negative = runs.select(*PAGE, F.sequence("start", F.col("start") + F.col("n") - 1).alias("word_ids"), F.lit(0).alias("y"))
+    number = F.row_number().over(W.partitionBy(*PAGE).orderBy(F.desc("y"), "word_ids"))
+    spans = positive.unionByName(negative).withColumn("span_id", number)
+    return spans.select(*PAGE, "span_id", "y").join(attributes(spans, words), [*PAGE, "span_id"]).select(*PAGE, "span_id", array_to_vector(vector()).alias("features"), F.col("y").alias("label"))
+
+
+def split(rows: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(training, validation) rows: of each label the share whose hash of keys is lowest is held out, the same rows whenever it runs."""
+    rank = F.percent_rank().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), *PAGE, "span_id"), *PAGE, "span_id"))
+    ranked = rows.withColumn("rank", rank)
+    return ranked.where(F.col("rank") >= share).drop("rank"), ranked.where(F.col("rank") < share).drop("rank")
+
+
+def validation(scored: DataFrame, at: float = 0.5) -> DataFrame:
+    """One row: n, precision, recall, f1 at a cut, and auc of scored (label, p): the share of pairs of a positive and a negative in the right order, ties half."""
+    up, hit = F.col("label") == 1, F.col("p") >= at
+    counts = scored.agg(F.count("*").alias("n"), F.count_if(up & hit).alias("hits"), F.count_if(hit).alias("found"), F.count_if(up).alias("gold"), F.count_if(~up).alias("others"))
+    ties = scored.groupBy("p").agg(F.count_if(up).alias("ups"), F.count_if(~up).alias("downs"))
+    below = F.coalesce(F.sum("downs").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pairs = ties.select((F.col("ups") * (below + F.col("downs") / 2)).alias("x")).agg(F.sum("x").alias("pairs"))
+    both = analysis.f1(counts, "hits", "found", "gold").crossJoin(F.broadcast(pairs))  # one row each
+    return both.select("n", "precision", "recall", "f1", F.try_divide("pairs", F.col("gold") * F.col("others")).alias("auc"))
 
 
 def train(rows: DataFrame, least: int = 10, seed: int = 42) -> PipelineModel | None:
@@ -41,6 +105,14 @@ def score(rows: DataFrame, model: PipelineModel | None) -> DataFrame:
     return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("scaled", "rawPrediction", "probability", "prediction")
 
 
-def retrieval_index(embeddings: DataFrame, layouts: DataFrame, entities: DataFrame) -> DataFrame:
-    """docid, embedding, vector, layout of documents that have all three."""
-    return embeddings.join(entities, "docid").join(layouts, "docid")
+def normalised_index(index: DataFrame, *columns: str) -> DataFrame:
+    """index with each vector column by its length."""
+    return index.withColumns({c: geometry.normalised(F.col(c)) for c in columns})
+
+
+def retrieval_index(embeddings: DataFrame, layouts: DataFrame, entities: DataFrame, gold: DataFrame, sample: int | None = None) -> DataFrame:
+    """docid, cluster, embedding, vector, layout, json of documents with an embedding, a layout and annotations; sample: the first so many by ord of embeddings (docid, cluster, embedding, ord) that have a layout."""
+    eligible = embeddings.join(layouts, "docid")
+    if sample is not None:
+        eligible = eligible.orderBy("ord", "docid").limit(sample)
+    return eligible.join(entities, "docid").join(gold, "docid").select("docid", "cluster", "embedding", "vector", "layout", "json")

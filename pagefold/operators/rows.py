@@ -52,9 +52,9 @@ def layout(rows: DataFrame, tag: Column | None = None) -> DataFrame:
     return lines.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("layout"))
 
 
-def reading_order(words: DataFrame, scale: float = 100.0) -> DataFrame:
-    """words with place, from 1: by top times scale, halves to even, then left."""
-    key = F.bround(F.col("top") * scale).cast("long")
+def reading_order(words: DataFrame, scale: float = 100.0, step: float | None = None) -> DataFrame:
+    """words with place, from 1: by top times scale, or by step, halves to even, then left."""
+    key = F.bround(F.col("top") * scale if step is None else F.col("top") / step).cast("long")
     return words.withColumn("place", F.row_number().over(W.partitionBy(*PAGE).orderBy(key, "left", "word_id")))
 
 
@@ -66,6 +66,21 @@ def windows(words: DataFrame, most: int) -> DataFrame:
     return pages.select(*PAGE, F.inline(runs)).select(*PAGE, "start", "n", F.array_join("texts", " ").alias("spaced"), F.array_join("texts", "").alias("compact"))
 
 
+def candidate_windows(words: DataFrame, most: int = 4, lines: bool = False, step: float = 0.015, apart: float = 0.045) -> DataFrame:
+    """docid, page, pos (place in reading order, from 0), n, ids, spaced: runs of 1..most words in reading order. Unless lines, a run ends before the first word that is over apart higher or lower than its first."""
+    pages = page_arrays(words, [F.bround(F.col("top") / step).cast("long"), F.col("left")], ("word_id", "text", "top"))
+
+    def sizes(w: Column, i: Column) -> Column:
+        near = F.slice("words", i + 1, F.lit(most))
+        far = F.array_position(F.transform(near, lambda x: F.abs(x["top"] - w["top"]) > apart), True)
+        return F.size(near) if lines else F.when(far > 0, far.cast("int") - 1).otherwise(F.size(near))
+
+    run = lambda i, n: F.struct(i.alias("pos"), n.alias("n"), F.slice("words", i + 1, n).alias("run"))
+    every = F.flatten(F.transform("words", lambda w, i: F.transform(F.sequence(F.lit(1), sizes(w, i)), lambda n: run(i, n))))
+    flat = pages.select(*PAGE, F.inline(every))
+    return flat.select(*PAGE, "pos", "n", F.transform("run", lambda w: w["word_id"]).alias("ids"), F.array_join(F.transform("run", lambda w: w["text"]), " ").alias("spaced"))
+
+
 def has_label(words: DataFrame, labels: Sequence[str], radius: int = 3) -> DataFrame:
     """words with labelled: whether one of labels stands in the radius words before, or after."""
     before = W.partitionBy(*PAGE).orderBy("word_id").rowsBetween(-radius, -1)

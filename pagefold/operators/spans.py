@@ -1,18 +1,17 @@
-"""Finding texts in runs of words, refining spans, and what they look like to a classifier."""
+"""Finding texts in runs of words, and runs that hold nothing."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
-from itertools import pairwise
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from pagefold.functions import text as t
-from pagefold.functions import validators as v
 from pagefold.operators import rows as r
 
 PAGE = ["docid", "page"]
@@ -99,72 +98,24 @@ def find_spans(queries: DataFrame, words: DataFrame, least: float = 0.75) -> Dat
     return both.mapInPandas(search, "docid long, page int, qid long, first int, last int, ratio double")
 
 
-def regex_candidates(words: DataFrame, fieldtype: str, most: int = 4) -> DataFrame:
-    """docid, page, start, n, text, score of runs that fit the type's format: one word .85, more .80; longer runs for account codes."""
-    runs = r.windows(words, 8 if fieldtype == "iban" else most)
-    text = F.col("compact") if fieldtype == "iban" else F.col("spaced")
-    ok = v.format_confidence(F.lit(fieldtype), text) >= 1.0
-    return runs.where(ok).select(*PAGE, "start", "n", text.alias("text"), F.when(F.col("n") == 1, 0.85).otherwise(0.80).alias("score"))
-
-
-def first_free(found: DataFrame) -> DataFrame:
-    """Of runs (docid, page, start, n) from left to right, those that begin past the last one taken; of one start the shortest. A fold over a page's few finds."""
-    runs = found.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("runs"))
-    zero = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start:int,n:int>>").alias("out"))
-    step = lambda s, x: F.when(x["start"] < s["end"], s).otherwise(F.struct((x["start"] + x["n"]).alias("end"), F.array_append(s["out"], x).alias("out")))
-    return runs.select(*PAGE, F.inline(F.aggregate("runs", zero, step, lambda s: s["out"])))
-
-
-def strip_labels(words: Column, labels: Sequence[str]) -> Column:
-    """words (structs with text) from the first that is no label on; all labels: none."""
-    plain = F.transform(words, lambda w: ~F.lower(F.trim(w["text"])).isin(list(labels)))
-    first = F.array_position(plain, True)
-    return F.when(first > 0, F.slice(words, first, F.size(words))).otherwise(F.slice(words, 1, 0))
+def find_inside(values: DataFrame, words: DataFrame, keys: Sequence[str], least: float = 0.75) -> DataFrame:
+    """keys, word_ids: the run of each value's own words (keys, word_id, text) most like it (values: keys, value), as find_span has it."""
+    some = F.transform(F.array_sort(F.collect_list(F.struct("word_id", "normal"))), lambda x: x)
+    own = words.withColumn("normal", t.align_text("text")).groupBy(*keys).agg(some.alias("ws"))
+    both = values.select(*keys, t.align_text("value").alias("normal")).join(own, list(keys)).where("normal <> ''").select(*keys, "normal", "ws")
 
+    def search(batches) -> Iterator:
+        import pandas as pd
 
-def refine_rows(spans: DataFrame, words: DataFrame, score: Column, labels: Sequence[str] = (), tolerance: float = 0.012) -> DataFrame:
-    """docid, page, span_id, ids of the span's row with the best score, the first of equals: a span's words are stripped of leading labels and put in rows.
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                if f := Page([w["normal"] for w in row.ws]).find(row.normal, least):
+                    out.append((*(getattr(row, k) for k in keys), [int(w["word_id"]) for w in row.ws[f[0] : f[1] + 1]]))
+            yield pd.DataFrame(out, columns=[*keys, "word_ids"])
 
-    score is of a row: columns n (words) and digits (words with a digit).
-    """
-    ids = spans.select(*PAGE, "span_id", F.explode("word_ids").alias("word_id")).distinct().join(words, [*PAGE, "word_id"])
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("top", "left", F.struct("word_id", "text", "left", "top", "right", "bottom").alias("w")))), lambda x: x["w"])
-    found = ids.groupBy(*PAGE, "span_id").agg(ordered.alias("ws")).withColumn("ws", strip_labels(F.col("ws"), labels)).withColumn("row", r.anchored(F.col("ws"), tolerance))
-    flat = found.select(*PAGE, "span_id", F.inline(F.arrays_zip("ws", "row"))).select(*PAGE, "span_id", "ws.*", "row")
-    by = flat.groupBy(*PAGE, "span_id", "row").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"\d")).alias("digits"), F.sort_array(F.collect_list("word_id")).alias("ids"))
-    return by.groupBy(*PAGE, "span_id").agg(F.max_by("ids", F.struct(score, -F.col("row"))).alias("ids"))
-
-
-def guarded(refined: DataFrame, spans: DataFrame, words: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """refined, or the span as it was where a word that is no label would be lost, or nothing is left."""
-    both = spans.join(refined, [*PAGE, "span_id"], "left").withColumn("lost", F.array_except("word_ids", F.coalesce("ids", F.array().cast("array<int>"))))
-    lost = both.select(*PAGE, "span_id", F.explode("lost").alias("word_id")).join(words, [*PAGE, "word_id"]).where(~F.lower(F.trim("text")).isin(list(labels))).select(*PAGE, "span_id").distinct().withColumn("no", F.lit(True))
-    keep = F.col("no").isNull() & F.col("ids").isNotNull()
-    return both.join(lost, [*PAGE, "span_id"], "left").select(*PAGE, "span_id", F.when(keep, F.col("ids")).otherwise(F.col("word_ids")).alias("ids"))
-
-
-def amount_run(texts: Sequence[str], is_amount, is_currency) -> list[int]:
-    """The places of the first number with what belongs to it: numbers and currency signs without a gap."""
-    good = [i for i, x in enumerate(texts) if is_amount(x) or is_currency(x)]
-    runs, now = [], good[:1]
-    for a, b in pairwise(good):
-        if b == a + 1:
-            now.append(b)
-        else:
-            runs.append(now)
-            now = [b]
-    runs += [now] if now else []
-    return next((x for x in runs if any(is_amount(texts[i]) for i in x)), [])
-
-
-def span_features(spans: DataFrame, words: DataFrame) -> DataFrame:
-    """Numbers that say what a span looks like: place, size, counts and shares of its characters, formats, and its words' order on the page."""
-    ids = spans.select(*PAGE, "span_id", F.explode("word_ids").alias("word_id")).join(words, [*PAGE, "word_id"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "text"))), lambda x: x["text"]), " ")
-    box = ids.groupBy(*PAGE, "span_id").agg(F.min("left").alias("l"), F.min("top").alias("t"), F.max("right").alias("r"), F.max("bottom").alias("b"), F.count("*").alias("n_words"), text.alias("text"))
-    share = lambda p: F.length(F.regexp_replace("text", p, "")) / F.greatest(F.length("text"), F.lit(1))
-    return box.select(*PAGE, "span_id", "l", "t", (F.col("r") - F.col("l")).alias("width"), (F.col("b") - F.col("t")).alias("height"), "n_words", F.length("text").alias("n_chars"), share("[^0-9]").alias("digits"), share("[^A-Za-z]").alias("letters"), share("[^A-Z]").alias("capitals"),
-        F.col("text").rlike(r"\d").cast("int").alias("has_digit"), v.amount(F.col("text")).alias("as_amount"), v.date(F.col("text")).alias("as_date"), v.iban(F.col("text")).alias("as_iban"))
+    kind = StructType([*(both.schema[k] for k in keys), StructField("word_ids", ArrayType(IntegerType()))])
+    return both.mapInPandas(search, kind)
 
 
 def negative_spans(positives: DataFrame, words: DataFrame, per_page: int = 5, most: int = 4) -> DataFrame:

@@ -6,14 +6,10 @@ from pyspark.sql import functions as F
 
 from pagefold.operators import align as al
 from pagefold.operators import ensemble as e
-from pagefold.operators import joins, learning
-from pagefold.operators import spans as sp
-from pagefold.plans import extraction, geometric
 from pagefold.sources import parsing
 from pagefold.sources import views as v
 from pagefold.streaming import incremental
 
-LABELS = ["la", "the", "und"]
 #: cluster (a language), fieldtype, label, pattern, reach
 RULES = [("en", "notes", "the", "^[a-z]{6,}$", 2), ("de", "notes", "und", "^[a-z]{6,}$", 2), ("es", "code", "la", "[0-9]", 4), ("fr", "code", "la", "[0-9]", 4)]
 TYPES = ["AF", "RF", "NO"]
@@ -65,15 +61,6 @@ def _strong(s, d, k, least):
     return v.fields(s, d).where(f"k = {k} and score > {least}")
 
 
-def _vectors(s, d):
-    spans, words = geometric.boxed(s, d), v.words(s, d)
-    near = joins.nearest_label(spans, words, geometric.VOCABULARY)
-    from pyspark.ml.functions import vector_to_array
-
-    made = learning.vectors(sp.span_features(spans.select("docid", "page", "span_id", "word_ids"), words), near)
-    return made.select("docid", "page", "span_id", F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size(vector_to_array("features")).alias("width"))
-
-
 QUERIES = {
     "candidate_dedup": lambda s, d: e.best_of_words(_ids(v.fields(s, d))).select("docid", "page", F.array_join("ids", ",").alias("ids"), "score", "place"),
     "oracle_dedup": lambda s, d: e.best_of_text(_texts(v.fields(s, d))),
@@ -81,18 +68,14 @@ QUERIES = {
     "source_docids": lambda s, d: e.in_sources(v.fields(s, d).where("score > 0.9"), 3),
     "type_sets": lambda s, d: e.type_sets(_strong(s, d, 0, 0.9), _strong(s, d, 1, 0.9)),
     "script_fallback": lambda s, d: al.prefer(_strong(s, d, 1, 0.95), _strong(s, d, 0, 0)).select("docid", "k", "pos", "score"),
-    "oracle_account_num": lambda s, d: al.code_finds(v.words(s, d), "account_num", LABELS),
-    "align_cascade": lambda s, d: al.align(extraction._wanted(s, d).withColumn("fieldtype", F.lit("vendor_name")), v.words(s, d)),
     "parse_grounding_json": lambda s, d: parsing.grounded(_grounding(s, d), TYPES).select("docid", "page", "fieldtype", "text", *(F.round(x, 6).alias(x) for x in "ltrb")),
     "parse_lenient_json": _lenient,
     "parse_verdicts": _verdicts,
     "merge_pages": _pages,
     "script_rules": _rules,
-    "feature_vector": _vectors,
     "resumable_batch": lambda s, d: incremental.remaining(v.read(s, d, "part").select(F.col("p_partkey").alias("docid")), _strong(s, d, 0, 0.95)),
 }
 _F = f"with {v.FIELDS}"
-_L = "regexp_matches(concat_ws(' ', string_agg(lower(text), ' ') over (partition by docid, page order by word_id rows between 3 preceding and 1 preceding), string_agg(lower(text), ' ') over (partition by docid, page order by word_id rows between 1 following and 3 following)), '" + "|".join(LABELS) + "')"
 SQL = {
     "candidate_dedup": f"{_F}, b as (select docid, page, list_sort(list_distinct([pos % 5, pos % 3])) as ids, max(score) as score from fields group by all) select docid, page, array_to_string(ids, ',') as ids, score, cast(row_number() over (partition by docid order by score desc, page, ids) as int) as place from b",
     "oracle_dedup": f"{_F}, x as (select *, concat('N', pos % 4, fieldtype) as code from fields) select distinct on (docid, fieldtype, code) docid, fieldtype, code, page, k, pos, score from x order by docid, fieldtype, code, score desc, page, k, pos",
@@ -102,11 +85,6 @@ SQL = {
 select *, 'a' as side from (from a except from b) union all select *, 'b' from (from b except from a) union all select *, 'both' from (from a intersect from b)""",
     "script_fallback": f"""{_F}, g as (select * from fields where k = 1 and score > 0.95::double and li is null)
 select docid, k, pos, score from g union all select docid, k, pos, score from fields f where k = 0 and (li is not null or not exists (select 1 from g where g.docid = f.docid))""",
-    "oracle_account_num": rf"""with {v.WORDS}, near as (select docid, page, word_id as start, {_L} as labelled from words), arr as (select docid, page, list(text order by word_id) as ws from words group by 1, 2), st as (select docid, page, ws, unnest(range(1, len(ws) + 1)) as i from arr),
-win as (select docid, page, cast(i - 1 as int) as start, cast(n as int) as n, regexp_replace(upper(array_to_string(ws[i:i + n - 1], '')), '[\s\-]', '', 'g') as text from st, range(1, 5) t(n) where i + n - 1 <= len(ws))
-select distinct on (docid, text) docid, page, start, n, text, case when labelled then 1.0::double else 0.7::double end as score from win join near using (docid, page, start) where regexp_matches(text, '^\d{{8,18}}$') order by docid, text, labelled desc, page, start, n""",
-    # every query is a text of its page, so the cascade ends at its first step
-    "align_cascade": f"with {v.WORDS}, {extraction._WANTED} select distinct on (docid, page, qid) docid, page, qid, cast(start as bigint) as first, cast(start + n - 1 as bigint) as last, 1.0::double as confidence, 'exact' as method from wanted q join win using (docid, page) where compact = regexp_replace(query, '\\s+', '', 'g') order by docid, page, qid, start, n",
     "parse_grounding_json": f"{_F} select docid, page, fieldtype, concat('t', pos) as text, round(l * 10 / 1000, 6) as l, round(t * 10 / 1000, 6) as t, round(r * 10 / 1000, 6) as r, round(b * 10 / 1000, 6) as b from fields where k = 0 and fieldtype in ('AF', 'RF', 'NO')",
     "parse_lenient_json": f"{_F} select docid, pos, case when docid % 3 < 2 then pos end as found from fields where k = 0",
     "parse_verdicts": f"""{_F}, x as (select docid, pos as ord, pos % 7 as id, pos % 4 as kind, pos % 5 > 0 as ok, score from fields where k = 0), y as (select *, ok and kind < 3 and not (kind = 1 and id > 4) as good from x)

@@ -18,6 +18,20 @@ BOXED = """boxed as (select s.docid, s.page, s.span_id, any_value(s.word_ids) as
   from spans s join words w on w.docid = s.docid and w.page = s.page and list_contains(s.word_ids, w.word_id) group by 1, 2, 3)"""
 VOCABULARY = "the of is ou er la de et un ti".split()
 PAIRS = [("AF", "RF"), ("NO", "RF"), ("NF", "NO")]
+#: For boxed spans, the nearest words around them; and the nearest word of a vocabulary.
+AROUND = """pairs as (select x.docid, x.page, span_id, word_id, text, (w."left" + w."right") / 2 as wx, (w.top + w.bottom) / 2 as wy, x.l, x.t, x.r, x.b, w."left" as wl, w.top as wt, w."right" as wr, w.bottom as wb,
+    abs((w.top + w.bottom) / 2 - (x.t + x.b) / 2) <= 0.045::double as level from boxed x join words w on w.docid = x.docid and w.page = x.page and not list_contains(word_ids, word_id)),
+  nearest as (select docid, page, span_id, arg_min(text, (l - wr, word_id)) filter (level and wx < l) as p, arg_min(text, (wl - r, word_id)) filter (level and wx > r) as q,
+    arg_min(text, (t - wb, word_id)) filter (not level and wy < t) as u, arg_min(text, (wt - b, word_id)) filter (not level and wy > b) as v from pairs group by all),
+  around as (select docid, page, span_id, coalesce(p, '') as left_text, coalesce(q, '') as right_text, coalesce(u, '') as above_text, coalesce(v, '') as below_text from boxed left join nearest using (docid, page, span_id))"""
+
+
+def near_sql(vocabulary) -> str:
+    return f"""said as (select docid, page, word_id, trim(lower(text)) as label, ("left" + "right") / 2 as wx, (top + bottom) / 2 as wy from words where trim(lower(text)) in {tuple(vocabulary)}),
+  told as (select x.docid, x.page, span_id, min((sqrt((wx - (l + r) / 2) * (wx - (l + r) / 2) + (wy - (t + b) / 2) * (wy - (t + b) / 2)), word_id, label)) as m from boxed x join said w on w.docid = x.docid and w.page = x.page and not list_contains(word_ids, word_id) group by all),
+  near as (select docid, page, span_id, coalesce(m[3], '') as label, least(coalesce(m[1], 2), 2)::double as dist from boxed left join told using (docid, page, span_id))"""
+
+
 CX, CY = '(w."left" + w."right") / 2', "(w.top + w.bottom) / 2"
 INSIDE = f"{CX} between x.l and x.r and {CY} between x.t and x.b"
 
@@ -102,7 +116,6 @@ select docid, page, pos, case when (docid, page, pos) in (select docid, page, po
 }
 _PAIR = f"""with {v.FIELDS}, x as (select * from fields where k = 0), c as (select a.docid, a.page, a.pos as pos_a, b.pos as pos_b, concat(least(a.fieldtype, b.fieldtype), '|', greatest(a.fieldtype, b.fieldtype)) as pair
   from x a join x b on a.docid = b.docid and a.page = b.page and a.pos < b.pos and {SMALL} >= 0.3 and abs(a.score - b.score) < 0.2 where pair in ('AF|RF', 'NO|RF', 'NF|NO'))"""
-_CENTRES = '(w."left" + w."right") / 2 as wx, (w.top + w.bottom) / 2 as wy, (x.l + x.r) / 2 as sx, (x.t + x.b) / 2 as sy'
 SQL |= {
     "conflict_pairs": f"{_PAIR} select * from c",
     "conflict_stats": f"{_PAIR} select pair, count(*) as triggered, cast(count_if(pos_a % 2 = 0) as bigint) as resolved from c group by 1",
@@ -112,14 +125,8 @@ n as (select x.docid, x.page, label_id, word_id, w."left" - r as dist, 0 as way
   union all select x.docid, x.page, label_id, word_id, w.top - b, 1 from lab x join words w on w.docid = x.docid and w.page = x.page and w.top - b between 0 and 0.2::double and abs(w."left" - l) <= 0.3::double),
 k as (select *, cast(row_number() over (partition by docid, page, label_id order by dist, word_id, way) as int) as rank from n)
 select docid, page, label_id, word_id, way, rank, greatest(0.1::double, 0.75::double - 2 * dist) as score from k where rank <= 3""",
-    "four_neighbors": f"""{_W}, {SPANS}, {BOXED}, p as (select x.docid, x.page, span_id, word_id, text, {_CENTRES} from boxed x join words w on w.docid = x.docid and w.page = x.page and not list_contains(word_ids, word_id)),
-q as (select docid, page, span_id,
-  first(text order by sx - wx, word_id) filter (abs(wy - sy) <= 0.045::double and wx < sx) as a, first(text order by wx - sx, word_id) filter (abs(wy - sy) <= 0.045::double and wx > sx) as c,
-  first(text order by sy - wy, word_id) filter (abs(wy - sy) > 0.045::double and wy < sy) as e, first(text order by wy - sy, word_id) filter (abs(wy - sy) > 0.045::double and wy > sy) as f from p group by 1, 2, 3)
-select docid, page, span_id, coalesce(a, '') as left_text, coalesce(c, '') as right_text, coalesce(e, '') as above_text, coalesce(f, '') as below_text from boxed left join q using (docid, page, span_id)""",
-    "nearest_label": f"""{_W}, {SPANS}, {BOXED}, p as (select x.docid, x.page, span_id, word_id, regexp_replace(lower(text), '[^a-z]', '', 'g') as label, {_CENTRES} from boxed x join words w on w.docid = x.docid and w.page = x.page and not list_contains(word_ids, word_id) where label in {tuple(VOCABULARY)}),
-q as (select distinct on (docid, page, span_id) docid, page, span_id, label, sqrt((wx - sx) * (wx - sx) + (wy - sy) * (wy - sy)) as dist from p order by docid, page, span_id, sqrt((wx - sx) * (wx - sx) + (wy - sy) * (wy - sy)), word_id)
-select docid, page, span_id, coalesce(label, '') as label, least(coalesce(dist, 2), 2) as dist from boxed left join q using (docid, page, span_id)""",
+    "four_neighbors": f"""{_W}, {SPANS}, {BOXED}, {AROUND} select docid, page, span_id, left_text, right_text, above_text, below_text from around""",
+    "nearest_label": f"""{_W}, {SPANS}, {BOXED}, {near_sql(VOCABULARY)} select docid, page, span_id, label, dist from near""",
     "lir_fallback": f"with {v.FIELDS}, n as (select docid, page, pos, k from fields where k = 1 and score > 0.9) select * from n union all select docid, page, pos, k from fields where k = 0 and (docid, page) not in (select docid, page from n)",
     "first_page_found": f"with {v.FIELDS}, m as (select docid, fieldtype, page, max(score) as score from fields group by all) select distinct on (docid, fieldtype) docid, fieldtype, page, score from m order by docid, fieldtype, page",
     "occurrence_assign": """with x as (select distinct l_orderkey as docid, l_linestatus as fieldtype, l_returnflag as text, l_linenumber, l_partkey, l_suppkey from lineitem),

@@ -41,12 +41,16 @@ QUERIES = {
     "row_blocks": lambda s, d: r.row_blocks(_rows(s, d), 0.02),
     "reading_order_100": _ordered(100.0),
     "reading_order_50": _ordered(50.0),
-    "reading_order_015": _ordered(64.0),
+    "reading_order_015": lambda s, d: r.reading_order(v.words(s, d), step=0.015).select("docid", "page", "word_id", "place"),
+    "candidate_windows": lambda s, d: r.candidate_windows(v.words(s, d)).select("docid", "page", F.col("pos").cast("long"), F.col("n").cast("long"), F.array_join("ids", ",").alias("ids")),
+    "address_windows": lambda s, d: r.candidate_windows(v.words(s, d), 20, lines=True).groupBy("docid", "page").agg(F.count("*").alias("n"), F.sum(F.length("spaced")).alias("characters")),
     "sliding_windows": lambda s, d: r.windows(v.words(s, d), 4).groupBy("docid", "page", "n").agg(F.count("*").alias("windows"), F.max("spaced").alias("spaced"), F.min("compact").alias("compact")),
     "context_label": lambda s, d: r.has_label(v.words(s, d), LABELS).select("docid", "page", "word_id", "labelled"),
     "longest_run": _runs,
     "expansion_candidates": lambda s, d: r.expansions(spans(s, d), _rows(s, d)).select("docid", "page", "span_id", F.col("ord").cast("long"), F.array_join("candidate", ",").alias("ids")).groupBy("docid", "page", "span_id").agg(F.count("*").alias("n"), F.max("ids").alias("largest")),
 }
+_STARTS = """arr as (select docid, page, list(word_id order by round_even(top / 0.015::double, 0), "left", word_id) as ids, list(top order by round_even(top / 0.015::double, 0), "left", word_id) as tops, list(text order by round_even(top / 0.015::double, 0), "left", word_id) as ws from words group by all),
+st as (select *, unnest(range(0, len(ids))) as pos from arr)"""
 _R = f"with {v.WORDS}, {ROWS}"
 SQL = {
     "row_groups": f"{_R} select docid, page, word_id, row from rows",
@@ -61,7 +65,9 @@ b as (select *, sum(far::int) over (partition by docid, page order by row) as bl
 select distinct on (docid, page) docid, page, first_row, n_rows, n_words from g order by docid, page, n_words desc, first_row""",
     "reading_order_100": _ordered_sql(100),
     "reading_order_50": _ordered_sql(50),
-    "reading_order_015": _ordered_sql(64),
+    "reading_order_015": f"with {v.WORDS} select docid, page, word_id, cast(row_number() over (partition by docid, page order by round_even(top / 0.015::double, 0), \"left\", word_id) as int) as place from words",
+    "candidate_windows": f"""with {v.WORDS}, {_STARTS} select docid, page, pos, n, array_to_string(ids[pos + 1:pos + n], ',') as ids from st, range(1, 5) t(n) where pos + n <= len(ids) and len(list_filter(tops[pos + 1:pos + n], lambda x: abs(x - tops[pos + 1]) > 0.045::double)) = 0""",
+    "address_windows": f"""with {v.WORDS}, {_STARTS} select docid, page, count(*) as n, cast(sum(len(array_to_string(ws[pos + 1:pos + n], ' '))) as bigint) as characters from st, range(1, 21) t(n) where pos + n <= len(ids) group by all""",
     "sliding_windows": f"""with {v.WORDS}, a as (select docid, page, list(text order by word_id) as ws from words group by 1, 2), s as (select docid, page, ws, unnest(range(1, len(ws) + 1)) as i from a), w as (select docid, page, ws, i, unnest([1, 2, 3, 4]) as n from s)
 select docid, page, n, count(*) as windows, max(array_to_string(ws[i:i + n - 1], ' ')) as spaced, min(array_to_string(ws[i:i + n - 1], '')) as compact from w where i + n - 1 <= len(ws) group by 1, 2, 3""",
     "context_label": f"""with {v.WORDS} select docid, page, word_id, regexp_matches(concat_ws(' ', string_agg(lower(text), ' ') over (partition by docid, page order by word_id rows between 3 preceding and 1 preceding), string_agg(lower(text), ' ') over (partition by docid, page order by word_id rows between 1 following and 3 following)), 'the|que|und') as labelled from words""",

@@ -37,6 +37,26 @@ WORDS = """words as (
       select doc_id as docid, unnest(range(len(ls))) as line, unnest(ls) as t from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))))
   where text <> '')"""
 
+#: What some words are replaced by, by word_id modulo 29, so that pages hold labels, amounts and codes; the same text in both engines.
+_MIXED = """case word_id % 29
+  when 0 then element_at(array('To:', 'No:', 'Total:', 'VAT', 'Account', 'Swift', 'Ref.', 'Invoice'), cast(word_id / 29 as int) % 8 + 1)
+  when 1 then concat(word_id * 37 + 10, '.50') when 2 then 'EUR' when 4 then concat('DE', lpad(cast(docid * 7919 + word_id as string), 9, '0'))
+  when 6 then lpad(cast(docid * 104729 + word_id as string), 10, '0') when 8 then 'DEUTDEFF' when 10 then 'DE89370400440532013000'
+  when 12 then 'GB29' when 13 then 'NWBK' when 14 then '6016' when 15 then '1331' when 16 then '9268' when 17 then '19'
+  when 20 then concat(docid % 28 + 1, '.', word_id % 12 + 1, '.2024') else text end"""
+MIXED = """mixed as (select docid, page, word_id, case word_id % 29
+  when 0 then ['To:', 'No:', 'Total:', 'VAT', 'Account', 'Swift', 'Ref.', 'Invoice'][word_id // 29 % 8 + 1]
+  when 1 then concat(word_id * 37 + 10, '.50') when 2 then 'EUR' when 4 then concat('DE', lpad(cast(docid * 7919 + word_id as varchar), 9, '0'))
+  when 6 then lpad(cast(docid * 104729 + word_id as varchar), 10, '0') when 8 then 'DEUTDEFF' when 10 then 'DE89370400440532013000'
+  when 12 then 'GB29' when 13 then 'NWBK' when 14 then '6016' when 15 then '1331' when 16 then '9268' when 17 then '19'
+  when 20 then concat(docid % 28 + 1, '.', word_id % 12 + 1, '.2024') else text end as text, "left", top, "right", bottom from words)"""
+
+
+def mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """words, with labels, amounts and codes among them."""
+    return words(spark, folder).withColumn("text", F.expr(_MIXED))
+
+
 #: Three jittered sources of predictions; the same text in both engines.
 _FIELDS = """select l_partkey as docid, concat(l_returnflag, l_linestatus) as fieldtype, cast(l_linenumber % 2 as int) as page, cast(k as int) as k,
   cast(row_number() over (partition by l_partkey, k order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) as bigint) as pos,

@@ -106,29 +106,6 @@ def test_nearest_in_blocks(spark):
     assert analysis.nearest(queries.limit(0), index, 3, sim).count() == 0
 
 
-def test_account_codes(spark):
-    words = page(spark, "IBAN", "DE89", "3704", "0044", "0532", "0130", "00", "end")
-    found = spans.regex_candidates(words, "iban")
-    assert [(r.start, r.n) for r in found.collect()] == [(1, 6)]
-    two = spark.createDataFrame([(1, 0, 1, 3), (1, 0, 2, 2), (1, 0, 4, 1)], "docid long, page int, start int, n int")
-    assert sorted((r.start, r.n) for r in spans.first_free(two).collect()) == [(1, 3), (4, 1)]
-
-
-def test_refining_and_its_guard(spark):
-    words = page(spark, "Vendor:", "Acme", "Ltd").unionByName(page(spark, "Street", top=0.3).withColumn("word_id", F.lit(3)))
-    some = spark.createDataFrame([(1, 0, 1, [0, 1, 2, 3])], "docid long, page int, span_id int, word_ids array<int>")
-    refined = spans.refine_rows(some, words, F.col("n"), ["vendor:"])
-    assert refined.first().ids == [1, 2]
-    assert spans.guarded(refined, some, words, ["vendor:"]).first().ids == [0, 1, 2, 3]
-    assert spans.guarded(refined, some, words, ["vendor:", "street"]).first().ids == [1, 2]
-
-
-def test_amount_runs():
-    number, sign = (lambda x: x.replace(",", "").replace(".", "").isdigit()), (lambda x: x in "€$")
-    assert spans.amount_run(["Total", "€", "1.234,56", "due", "7"], number, sign) == [1, 2]
-    assert spans.amount_run(["€", "none"], number, sign) == []
-
-
 def test_gates(spark):
     a, b = (spark.createDataFrame([(n, x) for n, x in zip("pqrs", xs, strict=True)], "name string, v double") for xs in ((1.0, 1.0, 1.0, 1.0), (2.5, 1.5, 1.0, 0.5)))
     assert {r.name: r.verdict for r in analysis.gate(a, b, ["name"], "v").collect()} == {"p": "strong", "q": "good", "r": "neutral", "s": "worse"}
