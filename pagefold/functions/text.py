@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagefold.functions.lambdas import let
+
 # Words that say nothing of a field.
 STOPWORDS = """a an the is are was were be been have has had do does did will would could should may might must shall can cannot
 of in on at to for with from by and or but not if as so that this these those it its""".split()
@@ -56,13 +58,16 @@ def parse_amount(c: Column) -> Column:
     comma is the decimal sign. A comma alone groups if three digits follow the last, else it is the decimal sign. A point alone is
     the decimal sign. What still is no number is null.
     """
-    s = F.regexp_replace(c, r"(?U)[€$£¥₹₣₹a-df-zA-DF-Z\s]", "")
-    comma, point = F.instr(s, ",") > 0, F.instr(s, ".") > 0
-    last = lambda ch: F.length(s) - F.length(F.substring_index(s, ch, -1))
-    european = s.rlike(r"\.\d{3},\d{2}$") | (comma & point & (last(",") > last(".")))
-    grouped = F.length(F.substring_index(s, ",", -1)) == 3
-    one = F.when(european, F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")).when(comma & ~point, F.when(grouped, F.regexp_replace(s, ",", "")).otherwise(F.regexp_replace(s, ",", "."))).otherwise(s)
-    return F.when(one.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), one.try_cast("double"))
+    def number(s: Column) -> Column:
+        comma, point = F.instr(s, ",") > 0, F.instr(s, ".") > 0
+        last = lambda ch: F.length(s) - F.length(F.substring_index(s, ch, -1))
+        european = s.rlike(r"\.\d{3},\d{2}$") | (comma & point & (last(",") > last(".")))
+        grouped = F.length(F.substring_index(s, ",", -1)) == 3
+        swapped = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        return F.when(european, swapped).when(comma & ~point, F.when(grouped, F.replace(s, F.lit(","), F.lit(""))).otherwise(F.replace(s, F.lit(","), F.lit(".")))).otherwise(s)
+
+    plain = let(F.regexp_replace(c, r"(?U)[€$£¥₹₣₹a-df-zA-DF-Z\s]", ""), number)
+    return let(plain, lambda x: F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), x.try_cast("double")))
 
 
 @F.pandas_udf(T.StringType())

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,21 +55,42 @@ def entity_vector(fields: DataFrame, types: Sequence[str]) -> DataFrame:
     return have.select("docid", F.array(*(F.array_contains("have", x).cast("int") for x in types)).alias("vector"))
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, likeness: Column, among: Column | None = None, block: int = 4096) -> DataFrame:
-    """query, id, sim, rank of the k index rows (of those among) most like each query, the smaller id first on a tie.
+def nearest(queries: DataFrame, index: DataFrame, k: int, block: int = 8192) -> DataFrame:
+    """query, id, sim, label, rank of the k index rows (id, vector, label) whose vectors have the largest product with each query's (query, vector), rounded to six places, the smaller id first on a tie; a row with the query's own id doesn't count.
 
-    Each query meets all of index, in blocks: queries are dealt to blocks of about block rows and index to as many slices as there
-    are shuffle partitions, and a block meets a slice in one task, so neither side has to fit anywhere whole. A task keeps the k
-    best of its slice, so no more than k per query and slice are shuffled.
+    The index stays where it is: queries go to it in broadcast blocks of at most block vectors, and a task compares its rows with a block as a
+    matrix product. It returns rows that reach the k-th best it has seen for a query, so few more than k for each query and task are shuffled.
     """
-    slices, blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-queries.count() // block))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("block_", deal("query", blocks)).withColumn("slice_", every(slices))
-    x = index.withColumn("slice_", deal("id", slices)).withColumn("block_", every(blocks))
-    both = q.join(x, ["block_", "slice_"]).where(F.lit(True) if among is None else among).select("query", "id", likeness.alias("sim"), "label")
+    spark = queries.sparkSession
+    numbered = queries.select("query", F.col("vector").cast("array<double>").alias("vector")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // block)))))
+    blocks = [r["block"] for r in numbered.select("block").distinct().collect()]  # one row for each pass over the index
+    light = index.select("id", F.col("vector").cast("array<double>").alias("vector"), "label")
+
+    def against(b: int) -> DataFrame:
+        got = numbered.where(F.col("block") == b).toArrow()
+        shared = spark.sparkContext.broadcast((got.column("query").to_numpy(), np.array(got.column("vector").to_pylist())))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            reach = np.full(len(names), -np.inf)
+            for batch in batches:
+                for k0 in range(0, batch.num_rows, 512):
+                    part = batch.slice(k0, 512)
+                    ids, label = part.column(0).to_numpy(), part.column(2)
+                    sim = np.round(q @ part.column(1).flatten().to_numpy().reshape(len(ids), -1).T, 6)
+                    sim[names[:, None] == ids] = -np.inf
+                    if len(ids) >= k:
+                        reach = np.maximum(reach, np.partition(sim, -k, axis=1)[:, -k])
+                    who, what = np.nonzero((sim >= reach[:, None]) & (sim > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(ids[what]), pa.array(sim[who, what]), label.take(pa.array(what))], ["query", "id", "sim", "label"])
+
+        kind = f"query long, id long, sim double, label {light.schema['label'].dataType.simpleString()}"
+        return light.mapInArrow(work, kind)
+
+    if not blocks:
+        return spark.createDataFrame([], f"query long, id long, sim double, label {light.schema['label'].dataType.simpleString()}, rank int")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "id"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, map(against, blocks)).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def majority(neighbours: DataFrame) -> DataFrame:
@@ -81,14 +105,31 @@ def accuracy(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"), F.avg("sim").alias("mean"), q.alias("q"), F.avg((F.col("sim") > 0.8).cast("double")).alias("high"), F.avg((F.col("sim") < 0.6).cast("double")).alias("low")).select("accuracy", "mean", *(F.col("q")[k].alias(n) for k, n in enumerate(("p25", "median", "p75"))), "high", "low")
 
 
-def jaccard(queries: DataFrame, index: DataFrame, k: int = 1) -> DataFrame:
-    """query, id, jaccard of the k rows whose token sets (query|id, token, distinct) are most like, among those that share a token. Sets meet on tokens, so pairs without any in common never arise."""
-    qn = queries.groupBy("query").agg(F.count("*").alias("qn"))
-    xn = index.groupBy("id").agg(F.count("*").alias("xn"))
-    both = queries.join(index, "token").groupBy("query", "id").agg(F.count("*").alias("both"))
-    sim = F.col("both") / (F.col("qn") + F.col("xn") - F.col("both"))
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("jaccard"), "id"))
-    return both.join(qn, "query").join(xn, "id").select("query", "id", sim.alias("jaccard")).withColumn("rank", rank).where(F.col("rank") <= k)
+def jaccard(queries: DataFrame, index: DataFrame, k: int = 1, first: int = 3) -> DataFrame:
+    """query, id, jaccard, rank of the k rows whose token sets (query|id, token, distinct) are most like each query's, among those that share a token; the smaller id first on a tie.
+
+    Queries meet rows on their rarest tokens only, in two passes. The first, on each query's first rarest tokens that any row has, gives
+    the k-th best likeness t so far. A row as like as t shares at least t of the query's n tokens, so one of the n - ceil(t * n) + 1 rarest;
+    the second pass meets on these, among rows of t * n to n / t tokens. So a common token pairs rows only with queries that nothing else matches.
+    """
+    frequency = index.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = queries.join(frequency, "token", "left").withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.coalesce("df", F.lit(0)), "token")))
+    have = ranked.where("df is not null").withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy("place")))
+    sets = lambda df, key, name: df.groupBy(key).agg(F.collect_set("token").alias(name))
+    q, x = sets(queries, "query", "q"), sets(index, "id", "x")
+
+    def likest(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(q, "query").join(x, "id")
+        common = F.size(F.array_intersect("q", "x"))
+        value = both.withColumn("common", common).select("query", "id", (F.col("common") / (F.size("q") + F.size("x") - F.col("common"))).alias("jaccard"))
+        return value.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("jaccard"), "id"))).where(F.col("rank") <= k)
+
+    seen = likest(have.where(F.col("nth") <= first).join(index, "token").select("query", "id").distinct())
+    reach = seen.groupBy("query").agg(F.when(F.count("*") == k, F.min("jaccard")).otherwise(0.0).alias("t"))
+    size, sizes = q.select("query", F.size("q").alias("n")), x.select("id", F.size("x").alias("m"))
+    asked = have.join(reach, "query").join(size, "query").where(F.col("place") <= F.col("n") - F.ceil(F.col("t") * F.col("n") - 1e-9) + 1)
+    met = asked.join(index.join(sizes, "id"), "token").where((F.col("m") >= F.col("t") * F.col("n") - 1e-9) & (F.col("m") * F.col("t") <= F.col("n") + 1e-9))
+    return likest(met.select("query", "id").distinct())
 
 
 def buckets(values: DataFrame, column: str) -> DataFrame:
@@ -156,9 +197,10 @@ def set_f1(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 def calc_check(amounts: DataFrame, tolerance: float = 0.03) -> DataFrame:
     """docid, page, gross, net, tax, off: the best amounts of each page (docid, page, fieldtype, text, score) where all three parse, and whether gross - (net + tax) is more than tolerance of gross."""
     names = {"gross": "amount_total_gross", "net": "amount_total_net", "tax": "amount_total_tax"}
-    value = t.parse_amount(F.col("text"))
-    best = [F.max_by(F.when(F.col("fieldtype") == ft, value), F.when(F.col("fieldtype") == ft, F.col("score"))).alias(n) for n, ft in names.items()]
-    pages = amounts.groupBy("docid", "page").agg(*best).dropna(subset=list(names))
+    # parsed once, below the aggregate, and only for the three types
+    parsed = amounts.where(F.col("fieldtype").isin(list(names.values()))).select("docid", "page", "fieldtype", "score", t.parse_amount(F.col("text")).alias("value"))
+    best = [F.max_by(F.when(F.col("fieldtype") == ft, F.col("value")), F.when(F.col("fieldtype") == ft, F.col("score"))).alias(n) for n, ft in names.items()]
+    pages = parsed.groupBy("docid", "page").agg(*best).dropna(subset=list(names))
     off = F.abs(F.col("gross") - (F.col("net") + F.col("tax"))) / F.greatest(F.abs("gross"), F.lit(0.01))
     return pages.withColumn("off", off > tolerance)
 

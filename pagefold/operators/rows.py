@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,10 +33,34 @@ def anchored(words: Column, tolerance: float = 0.012) -> Column:
     return F.aggregate(words, start, step, lambda s: s["out"])
 
 
+def _page_rows(tolerance: float):
+    """anchored() for whole pages, from their tops in order: an Arrow batch of pages at a time, a search for each row, where a fold would copy its array for each word."""
+
+    def rows(tops: np.ndarray) -> np.ndarray:
+        out, i, row = np.empty(len(tops), np.int32), 0, 0
+        while i < len(tops):
+            j = int(np.searchsorted(tops, tops[i] + tolerance, "right"))
+            while j < len(tops) and abs(tops[j] - tops[i]) <= tolerance:
+                j += 1
+            while j > i + 1 and abs(tops[j - 1] - tops[i]) > tolerance:
+                j -= 1
+            out[i:j] = row
+            i, row = j, row + 1
+        return out
+
+    @F.arrow_udf("array<int>")
+    def of(col: pa.Array) -> pa.Array:
+        flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pc.list_value_length(col).to_numpy(zero_copy_only=False)])
+        found = [rows(flat[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
+
+    return of
+
+
 def row_groups(words: DataFrame, tolerance: float = 0.012) -> DataFrame:
     """words with row, the number of their row on the page."""
     pages = page_arrays(words, [F.col("top"), F.col("left")])
-    tagged = pages.withColumn("rows", anchored(F.col("words"), tolerance))
+    tagged = pages.withColumn("rows", _page_rows(tolerance)(F.transform("words", lambda w: w["top"])))
     flat = tagged.select(*PAGE, F.inline(F.arrays_zip("words", "rows")))
     return flat.select(*PAGE, "words.*", F.col("rows").alias("row"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagefold.functions import geometry, text
+from pagefold.functions import text
 from pagefold.operators import analysis as a
 from pagefold.operators import joins
 from pagefold.plans.geometric import regions
@@ -26,22 +26,18 @@ def _shaped(s, d):
     return _orders(s, d).select((F.col("o_custkey") % 400).alias("cluster"), F.col("o_orderkey").alias("docid"), F.col("o_orderpriority").alias("fieldtype"), ((F.col("o_orderkey") % 7) / 100.0).alias("x"), ((F.col("o_custkey") % 5) / 100.0).alias("y"), F.concat("o_orderstatus", (F.col("o_orderkey") % 3).cast("string")).alias("text"))
 
 
-def _vectors(s, d):
+def _knn(s, d, k, vector=None, weighted=None):
     """Every twentieth vector against all the others."""
-    e = v.read(s, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"), "label")
-
-
-def _knn(s, d, k):
-    q, x = _vectors(s, d)
-    return a.nearest(q, x, k, F.round(geometry.dot(F.col("q"), F.col("e")), 6), F.col("id") != F.col("query"))
+    e, vector = v.read(s, d, "embeddings"), F.col("embedding") if vector is None else vector
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), (vector if weighted is None else weighted).alias("vector"))
+    return a.nearest(queries, e.select(F.col("vec_id").alias("id"), vector.alias("vector"), "label"), k)
 
 
 def _hybrid(s, d):
-    q, x = _vectors(s, d)
-    first = lambda c: F.transform(F.slice(c, 1, 8), lambda y: F.when(y > 0, 1.0).otherwise(0.0))
-    return a.nearest(q, x, 3, F.round(0.7 * geometry.dot(F.col("q"), F.col("e")) + 0.3 * geometry.dot(first("q"), first("e")) / 8, 6), F.col("id") != F.col("query")).select("query", "id", "sim", "rank")
+    """The vector and which of its first eight numbers are positive, seven to three: the product of both in one, weighted on the query's side."""
+    signs = F.transform(F.slice("embedding", 1, 8), lambda y: F.when(y > 0, 1.0).otherwise(0.0))
+    whole = lambda w1, w2: F.concat(F.transform("embedding", lambda y: y.cast("double") * w1), F.transform(signs, lambda y: y * w2))
+    return _knn(s, d, 3, whole(1.0, 1.0), whole(0.7, 0.3 / 8)).select("query", "id", "sim", "rank")
 
 
 def _tokens(s, d, table, key, name):

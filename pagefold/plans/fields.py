@@ -225,7 +225,7 @@ join (with {v.WORDS}, {v.MIXED} select * from mixed) m using (docid, page, word_
     "regex_candidates": _regex_sql(1, r"regexp_matches(text, '^-?\d+([.,]\d+)?$')"),
     "regex_candidates_date": _regex_sql(4, r"regexp_matches(text, '^\d{4}-\d{1,2}-\d{1,2}$|^\d{1,2}/\d{1,2}/\d{2,4}$|^\d{1,2}\.\d{1,2}\.\d{2,4}$|^\d{1,2}-\d{1,2}-\d{2,4}$|(?i)^\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s*,?\s*\d{2,4}$|^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{2,4}$')"),
     "regex_candidates_iban": _regex_sql(8, _IBAN.format(_UPPER)),
-    "regex_candidates_bic": _regex_sql(1, "regexp_matches(upper(replace(text, 'ß', 'SS')), '^[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?$')"),
+    "regex_candidates_bic": _regex_sql(1, "length(text) in (8, 11) and regexp_matches(upper(replace(text, 'ß', 'SS')), '^[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?$')"),
     "regex_candidates_currency": _regex_sql(1, f"text in {tuple(codes.SIGNS)} or upper(text) in {tuple(codes.CODES_40)}"),
     "regex_candidates_rate": _regex_sql(1, r"regexp_matches(text, '^\d+(\.\d+)?\s*%?$')"),
     "regex_candidates_tax_id": _regex_sql(1, r"regexp_matches(text, '(?i)^[A-Z]{2}[\p{L}\p{N}_./-]{5,}$')"),

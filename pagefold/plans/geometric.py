@@ -37,7 +37,7 @@ INSIDE = f"{CX} between x.l and x.r and {CY} between x.t and x.b"
 
 
 def regions(spark, d):
-    pages = v.words(spark, d).select("docid", "page").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    pages = v.pages(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
     out = spark.sql(_REGIONS, pages=pages)
     return out.select("docid", "page", "ord", "label", *(F.col(c).cast("double").alias(c) for c in "ltrb"))
 

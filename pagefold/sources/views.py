@@ -16,18 +16,29 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def words(spark: SparkSession, folder: str) -> DataFrame:
-    """Every word of documents on a grid: lines are rows, PAGE_LINES of them a page. Built in each document's row, so nothing is shuffled for the word numbers."""
+def _page_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """docid, page, found: the page's words with their row and column, for every page with a word."""
     docs = read(spark, folder, "documents").select(F.col("doc_id").alias("docid"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     pages = docs.select("docid", "lines", F.explode(F.sequence(F.lit(0), ((F.size("lines") - 1) / PAGE_LINES).cast("int"))).alias("page"))
     cell = lambda r: lambda w, c: F.struct(w.alias("text"), r.alias("r"), c.alias("c"))
     row = lambda line, r: F.filter(F.transform(F.split(line, " ", -1), cell(r)), lambda x: x["text"] != "")
-    found = F.flatten(F.transform(F.slice("lines", F.col("page") * PAGE_LINES + 1, PAGE_LINES), row))
-    flat = pages.select("docid", "page", F.posexplode(found).alias("word_id", "w"))
+    return pages.select("docid", "page", F.flatten(F.transform(F.slice("lines", F.col("page") * PAGE_LINES + 1, PAGE_LINES), row)).alias("found"))
+
+
+def words(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of documents on a grid: lines are rows, PAGE_LINES of them a page. Built in each document's row, so nothing is shuffled for the word numbers."""
+    flat = _page_cells(spark, folder).select("docid", "page", F.posexplode("found").alias("word_id", "w"))
     left, top = F.col("w.c") / 128.0, F.col("w.r") / 32.0 + F.pmod(F.col("w.c") * 7, F.lit(5)) / 1024.0
     return flat.select("docid", "page", "word_id", "w.text", left.alias("left"), top.alias("top"), (left + F.length("w.text") / 1024.0).alias("right"), (top + 8 / 1024.0).alias("bottom"))
 
 
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """docid, page of every page with a word, without making the words."""
+    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("docid"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    all_ = docs.select("docid", F.posexplode(F.transform(F.sequence(F.lit(0), ((F.size("lines") - 1) / PAGE_LINES).cast("int")), lambda p: F.exists(F.slice("lines", p * PAGE_LINES + 1, PAGE_LINES), lambda x: F.trim(x) != ""))).alias("page", "some"))
+    return all_.where("some").select("docid", "page")
+
+
 WORDS = """words as (
   select docid, page, cast(row_number() over (partition by docid, page order by r, c) - 1 as int) as word_id, text,
     c / 128.0 as "left", r / 32.0 + ((c * 7) % 5) / 1024.0 as top, c / 128.0 + length(text) / 1024.0 as "right",
