@@ -32,5 +32,18 @@ FAMILIES = {
     "currency": "currency_code_amount_due line_item_currency".split(),
 }
 
-# Types with weak classifiers, besides all row-grouped ones.
 AMOUNT_FIELDS = "amount_due amount_paid amount_total_gross amount_total_net amount_total_tax tax_detail_gross tax_detail_net tax_detail_tax".split()
+
+# Types that a second pass looks for.
+TARGETED = """account_num bank_num bic iban vendor_registration_id customer_registration_id vendor_tax_id customer_tax_id
+tax_detail_gross tax_detail_net tax_detail_rate tax_detail_tax""".split()
+
+# Types with weak classifiers, besides all row-grouped ones.
+WEAK = """bic customer_delivery_name customer_registration_id customer_tax_id iban line_item_discount_amount line_item_discount_rate line_item_person_name
+line_item_weight tax_detail_rate vendor_registration_id""".split()
+
+
+def rows() -> list[tuple[str, str, bool, str | None, bool, bool]]:
+    """(fieldtype, task, multi, family, targeted, weak) of every type, by name."""
+    family = {t: f for f, types in FAMILIES.items() for t in types}
+    return [(t, "kile" if t in KILE else "lir", t in MULTI, family.get(t), t in TARGETED, t in WEAK or t in LIR) for t in sorted(KILE + LIR)]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import cached_property, reduce
@@ -185,7 +186,7 @@ def align(queries: DataFrame, words: DataFrame, least: float = 0.5) -> DataFrame
 
     wanted = queries.where("query <> ''").groupBy(*PAGE).agg(F.collect_list(F.struct("qid", "fieldtype", "query")).alias("qs"))
     both = wanted.join(pages, PAGE).select(*PAGE, "qs", "ws")
-    return both.mapInPandas(work, "docid long, page int, qid long, ids array<int>, confidence double, method string")
+    return both.mapInPandas(work, f"docid {queries.schema['docid'].dataType.simpleString()}, page int, qid long, ids array<int>, confidence double, method string")
 
 
 def text_fields(predictions: DataFrame, words: DataFrame, least: float = 0.75) -> DataFrame:
@@ -222,16 +223,61 @@ def resolve_boxes(values: DataFrame, regions: DataFrame, words: DataFrame, mode:
     return best.select(*keys, *(F.col(f"x.{c}").alias(c) for c in box))
 
 
-def verify(candidates: DataFrame, texts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """docid, page, span_id, ord, score of the best of a span's candidates (docid, page, span_id, ord, text): .6 for the share of the field's keywords in the text and .4 for likeness to the extracted text (texts: docid, page, span_id, extracted; keywords: docid, page, span_id, words). The proposed one, ord 0, stays if no score reaches .1; the first of equals counts."""
+def verify(candidates: DataFrame, texts: DataFrame, keywords: DataFrame, choices: DataFrame | None = None, unsure: float = 0.4) -> DataFrame:
+    """docid, page, span_id, ord, score of the best of a span's candidates (docid, page, span_id, ord, text): .6 for the share of the field's keywords in the text and .4 for likeness to the extracted text (texts: docid, page, span_id, extracted; keywords: docid, page, span_id, words).
+
+    The proposed one, ord 0, stays if no score reaches .1; the first of equals counts. Where the best is under unsure, a provider's recorded choice
+    (docid, page, span_id, choice) among the span's candidates decides, if there is one.
+    """
     from pagefold.functions.text import sequence_ratio
 
     keys = [*PAGE, "span_id"]
     both = candidates.join(texts, keys).join(keywords, keys)
     hits = F.size(F.filter("words", lambda w: F.contains(F.lower("text"), w)))
     score = 0.6 * F.coalesce(F.try_divide(hits, F.size("words")), F.lit(0.0)) + 0.4 * sequence_ratio(F.lower("extracted"), F.lower("text"))
-    best = both.withColumn("score", score).groupBy(*keys).agg(F.max(F.struct("score", (-F.col("ord")).alias("minus"))).alias("x"))
-    return best.select(*keys, F.when(F.col("x.score") < 0.1, F.lit(0)).otherwise(-F.col("x.minus")).alias("ord"), "x.score")
+    best = both.withColumn("score", score).groupBy(*keys).agg(F.max(F.struct("score", (-F.col("ord")).alias("minus"))).alias("x"), F.collect_set("ord").alias("ords"))
+    own = F.when(F.col("x.score") < 0.1, F.lit(0)).otherwise(-F.col("x.minus"))
+    if choices is None:
+        return best.select(*keys, own.alias("ord"), "x.score")
+    said = (F.col("x.score") < unsure) & F.array_contains("ords", F.coalesce("choice", F.lit(-1)))
+    return best.join(choices.select(*keys, "choice"), keys, "left").select(*keys, F.when(said, F.col("choice")).otherwise(own).alias("ord"), "x.score")
+
+
+def run_program(words: DataFrame, program: Callable[[list[dict]], list[dict]], types: Sequence[str], seconds: float = 5.0) -> DataFrame:
+    """docid, page, ord, fieldtype, word_ids of a user's function on each page's words (dicts with word_id, text, left, top, right, bottom), which returns dicts with fieldtype and word_ids.
+
+    A page on which it fails or takes longer gives no rows. Items of unknown type, or whose ids are not all whole numbers, are dropped. The function is the
+    caller's own code, shipped as such; programs that are text are rows of apply_rules instead, never executed.
+    """
+    cols = ("word_id", "text", "left", "top", "right", "bottom")
+    known = frozenset(types)
+    pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("ws"))
+
+    def good(x) -> bool:
+        return isinstance(x, dict) and x.get("fieldtype") in known and isinstance(x.get("word_ids"), list) and all(type(i) is int for i in x["word_ids"])
+
+    def work(batches) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for page in b.itertuples(index=False):
+                pool = ThreadPoolExecutor(1)
+                try:
+                    found = pool.submit(program, [dict(w) for w in page.ws]).result(timeout=seconds)
+                except Exception:  # whatever the user's code does, the page has no rows
+                    found = None
+                pool.shutdown(wait=False, cancel_futures=True)
+                items = [x for x in found if good(x)] if isinstance(found, list) else []
+                rows += [(page.docid, page.page, k, x["fieldtype"], x["word_ids"]) for k, x in enumerate(items)]
+            yield pd.DataFrame(rows, columns=["docid", "page", "ord", "fieldtype", "word_ids"])
+
+    return pages.mapInPandas(work, f"docid {words.schema['docid'].dataType.simpleString()}, page int, ord int, fieldtype string, word_ids array<int>")
+
+
+def verified_by(fields: DataFrame, *verifiers: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """fields after each verifier in turn, a function from fields to fields."""
+    return reduce(DataFrame.transform, verifiers, fields)
 
 
 def apply_rules(words: DataFrame, rules: DataFrame, docs: DataFrame, score: float = 0.9) -> DataFrame:

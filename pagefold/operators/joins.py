@@ -250,3 +250,11 @@ def cells_to_fields(cells: DataFrame, columns: DataFrame, header_row: int = 0, s
     """Cells (docid, page, table_id, row, col, text) below the header whose column has a type (docid, page, table_id, col, fieldtype), with their row's id."""
     rows = cells.where(F.col("row") > header_row).join(columns.where("fieldtype is not null"), ["docid", "page", "table_id", "col"])
     return rows.withColumn("line_item_id", F.col("page") * 10000 + F.col("table_id") * 100 + F.col("row")).withColumn("score", F.lit(score))
+
+
+def cells_on_words(cells: DataFrame, columns: DataFrame, words: DataFrame, header_row: int = 0, score: float = 0.9) -> DataFrame:
+    """cells_to_fields() of cells with a box (l, t, r, b), each with the box and text of the words whose centre it holds; cells that hold none are dropped."""
+    fields = cells_to_fields(cells, columns, header_row, score)
+    keys = [*PAGE, "table_id", "row", "col"]
+    held = box_of(words_in_boxes(words, fields.select(*keys, *SHORT)), keys)
+    return fields.drop("text", *SHORT).join(held, keys)

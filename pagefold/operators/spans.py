@@ -95,7 +95,8 @@ def find_spans(queries: DataFrame, words: DataFrame, least: float = 0.75) -> Dat
                         out.append((row.docid, row.page, q["qid"], *f))
             yield pd.DataFrame(out, columns=["docid", "page", "qid", "first", "last", "ratio"])
 
-    return both.mapInPandas(search, "docid long, page int, qid long, first int, last int, ratio double")
+    kind = f"docid {queries.schema['docid'].dataType.simpleString()}, page int, qid long, first int, last int, ratio double"
+    return both.mapInPandas(search, kind)
 
 
 def find_inside(values: DataFrame, words: DataFrame, keys: Sequence[str], least: float = 0.75) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagefold.plans import analyses, candidates, ensembles, extraction, fields, geometric, scalars, sequences
+from pagefold.plans import analyses, answers, candidates, ensembles, extraction, fields, geometric, scalars, sequences
 
-MODULES = (ensembles, geometric, scalars, sequences, analyses, extraction, candidates, fields)
+MODULES = (ensembles, geometric, scalars, sequences, analyses, extraction, candidates, fields, answers)
 
 
 def queries() -> dict:

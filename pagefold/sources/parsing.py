@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagefold.functions import geometry as g
+from pagefold.operators import joins
 
 ANSWER = "struct<fields:array<struct<fieldtype:string,text:string,word_ids:array<int>,score:double,line_item_id:int>>>"
 
@@ -70,7 +71,7 @@ def verdicts(responses: DataFrame) -> DataFrame:
 
 def normal_entries(found: Column, catalog: Sequence[str]) -> Column:
     """A map of type to texts with the catalog's keys, trimmed, without empty texts and lists."""
-    clean = F.transform_values(found, lambda k, v: F.filter(F.transform(v, F.trim), lambda x: x != ""))
+    clean = F.transform_values(found, lambda k, v: F.filter(F.transform(v, lambda x: F.trim(x)), lambda x: x != ""))
     return F.map_filter(clean, lambda k, v: k.isin(list(catalog)) & (F.size(v) > 0))
 
 
@@ -127,9 +128,9 @@ def training_jsonl(fields: DataFrame) -> DataFrame:
 
 
 def documents(ocr: DataFrame, annotations: DataFrame) -> DataFrame:
-    """The documents of which both files (docid, raw) parse."""
-    good = lambda df, kind: df.where(F.from_json("raw", kind).isNotNull())
-    return good(ocr, OCR).select("docid", F.col("raw").alias("ocr")).join(good(annotations, "struct<field_extractions:array<string>>").select("docid", F.col("raw").alias("annotation")), "docid")
+    """docid, ocr, annotation of the documents of which both files (docid, raw) are JSON."""
+    good = lambda df, name: df.where(F.try_parse_json("raw").isNotNull()).select("docid", F.col("raw").alias(name))
+    return good(ocr, "ocr").join(good(annotations, "annotation"), "docid")
 
 
 class _Cells(HTMLParser):
@@ -180,3 +181,79 @@ def gold_json(fields: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.when(F.col("line_item_id").isNotNull(), F.struct("line_item_id", "fs"))))
     page = F.flatten(F.collect_list(F.when(F.col("line_item_id").isNull(), F.col("fs"))))
     return lists.groupBy("docid").agg(F.to_json(F.struct(page.alias("fields"), F.transform(rows, lambda x: x["fs"]).alias("line_items"))).alias("json"))
+
+
+def recall_answers(responses: DataFrame, words: DataFrame, targets: Sequence[str], default: float = 0.7, discount: float = 0.7) -> DataFrame:
+    """docid, page, ord, fieldtype, score and the box of the named words of answers() for target types; answers that name no known word are dropped."""
+    found = answers(responses, targets, default, discount)
+    boxes = joins.union_of_words(found.where(F.size("word_ids") > 0).select("docid", "page", "ord", "word_ids"), words, ["ord"])
+    return found.select("docid", "page", "ord", "fieldtype", "score").join(boxes.drop("text"), ["docid", "page", "ord"])
+
+
+CANDIDATE = "struct<word_ids:array<int>,text:string,score:double,line_item_id:int>"
+
+
+def embedded_candidates(responses: DataFrame) -> DataFrame:
+    """docid, ord, word_ids, text, score, line_item_id of the candidates in answers (docid, raw): the whole answer is JSON, or the object that begins with "candidates" in it. Malformed ones are skipped; a score that is missing is .5."""
+    whole = unfenced(F.col("raw"))
+    listed = lambda s: F.from_json(s, "candidates array<string>")["candidates"]
+    inner = F.regexp_extract(whole, r'(?s)(\{ ?"candidates".*)', 1)
+    rows = responses.select("docid", F.posexplode(F.coalesce(listed(whole), listed(inner))).alias("ord", "item"))
+    parsed = rows.withColumn("c", F.from_json("item", CANDIDATE)).where(F.ltrim("item").startswith("{"))
+    bad = F.col("item").rlike(r'"word_ids"\s*:\s*[^\[\s]') | (F.col("item").rlike(r'"word_ids"') & F.col("c.word_ids").isNull()) | (F.col("item").rlike(r'"score"') & F.col("c.score").isNull())
+    return parsed.where(~bad).select("docid", "ord", F.coalesce("c.word_ids", F.array().cast("array<int>")).alias("word_ids"), F.coalesce("c.text", F.lit("")).alias("text"), F.coalesce("c.score", F.lit(0.5)).alias("score"), "c.line_item_id")
+
+
+def script_output(outputs: DataFrame, types: Sequence[str]) -> DataFrame:
+    """docid, ord, fieldtype, word_ids of a rule program's output (docid, raw: a JSON list): items that are no object, of unknown type, or whose ids are not all whole numbers are dropped; row ids are not taken over."""
+    rows = outputs.select("docid", F.posexplode(F.from_json("raw", "array<string>")).alias("ord", "item"))
+    item = F.from_json("item", "struct<fieldtype:string,word_ids:array<int>>")
+    whole = F.col("item").rlike(r'"word_ids"\s*:\s*\[\s*(-?\d+\s*(,\s*-?\d+\s*)*)?\]')
+    return rows.withColumn("i", item).where(F.col("i.fieldtype").isin(list(types)) & (whole | ~F.col("item").contains('"word_ids"'))).select("docid", "ord", "i.fieldtype", F.coalesce("i.word_ids", F.array().cast("array<int>")).alias("word_ids"))
+
+
+def table_structure(responses: DataFrame, types: Sequence[str]) -> DataFrame:
+    """docid, header_row, columns (column number to type, or null) of answers (docid, raw); unknown types are left out, an answer that does not parse has header 0 and no columns."""
+    parsed = F.from_json(unfenced(F.col("raw")), "struct<header_row:int,columns:map<string,string>>")
+    null = lambda v: v.isNull() | (v == "null")
+    kept = F.map_filter(F.coalesce(F.col("p.columns"), F.create_map().cast("map<string,string>")), lambda k, v: k.rlike(r"^\d+$") & (null(v) | v.isin(list(types))))
+    entries = F.transform(F.map_entries(kept), lambda e: F.struct(e["key"].cast("int").alias("key"), F.when(~null(e["value"]), e["value"]).alias("value")))
+    return responses.withColumn("p", parsed).select("docid", F.coalesce("p.header_row", F.lit(0)).alias("header_row"), F.map_from_entries(entries).alias("columns"))
+
+
+def code_block(raw: Column) -> Column:
+    """The program in an answer: after the first ```python, else the first ```, up to the last ```; else the whole."""
+    s = F.trim(raw)
+    after = lambda mark: F.substring(s, F.instr(s, mark) + len(mark), F.length(s))
+    upto = lambda x: F.when(x.contains("```"), F.regexp_replace(x, r"(?s)```(?!.*```).*$", "")).otherwise(x)
+    return F.regexp_replace(F.when(s.contains("```python"), upto(after("```python"))).when(s.contains("```"), upto(after("```"))).otherwise(s), r"(?U)^\s+|\s+$", "")
+
+
+def truncated(code: Column) -> Column:
+    """Whether a program looks cut off: empty, or its last line ends in an operator or open bracket, or is neither indented, nor a definition, nor the final return."""
+    last = F.regexp_replace(F.substring_index(F.regexp_replace(code, r"\s+$", ""), "\n", -1), r"\s+$", "")
+    loose = ~last.startswith("    ") & ~last.startswith("def ") & (last != "return results")
+    return (code == "") | last.rlike(r"[,(\[\\+\-*=]$") | loose
+
+
+def page_rows(pages: DataFrame, fields: DataFrame) -> DataFrame:
+    """training_jsonl() for every page (docid, page), {} where it has no fields."""
+    return pages.join(training_jsonl(fields), ["docid", "page"], "left").withColumn("json", F.coalesce("json", F.lit("{}")))
+
+
+def chat_rows(fields: DataFrame, images: DataFrame, prompt: str, system: str) -> DataFrame:
+    """docid, json of a chat for each document with an image (docid, image) and fields on page 0 (docid, page, ord, fieldtype, text, left, top, right, bottom): the prompt, and {type: {text, bbox_2d by 1000}}, types in order of their first field, of several the last."""
+    sides = F.array(*(g.to_thousand(F.col(s)) for s in g.SIDES))
+    one = fields.where("page = 0").groupBy("docid", "fieldtype").agg(F.min("ord").alias("first"), F.max_by(F.struct(F.coalesce("text", F.lit("")).alias("text"), sides.alias("bbox_2d")), "ord").alias("value"))
+    entry = F.concat(F.to_json(F.array("fieldtype")).substr(F.lit(2), F.length("fieldtype") + 2), F.lit(":"), F.to_json("value"))
+    answers_ = one.groupBy("docid").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", entry.alias("entry")))), lambda x: x["entry"]), ","), F.lit("}")).alias("answer"))
+    said = lambda who, what: F.struct(F.lit(who).alias("from"), what.alias("value"))
+    chat = F.struct(F.array(said("human", F.lit(prompt)), said("gpt", F.col("answer"))).alias("conversations"), F.lit(system).alias("system"), F.col("image"))
+    return images.join(answers_, "docid").select("docid", "answer", F.to_json(chat).alias("json"))
+
+
+def chat_row_counts(docs: DataFrame, fields: DataFrame, images: DataFrame) -> DataFrame:
+    """One row: documents written, and those skipped without an image, or without fields on page 0."""
+    has = lambda df, name: df.select("docid").distinct().withColumn(name, F.lit(True))
+    both = docs.select("docid").join(has(images, "image"), "docid", "left").join(has(fields.where("page = 0"), "some"), "docid", "left")
+    return both.agg(F.count_if(F.col("image") & F.col("some")).alias("written"), F.count_if(F.col("image").isNull()).alias("no_image"), F.count_if(F.col("image") & F.col("some").isNull()).alias("no_fields"))
