@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from pagefold.plans import registry  # noqa: E402
 
-HEADLINE = "ensemble_weighted_max dedup_argmax words_in_box row_groups knn_vote jaccard_top1 cluster_prior cluster_tightness average_precision calc_verifier".split()
+HEADLINE = "ensemble_weighted_max dedup_argmax words_in_box row_groups knn_vote jaccard_top1 cluster_prior cluster_tightness average_precision calc_verifier four_neighbors nearest_label".split()
 
 
 def main() -> None:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,33 +17,70 @@ MODES = ("weighted_max", "weighted_mean", "vote")
 BOX = ("l", "t", "r", "b")
 
 
-def greedy_step(threshold: float):
-    """A fold's step over items (structs with a box l, t, r, b, in order) that gives each g: the first group with any member of that overlap or more, else a new group.
+#: Boxes from which a bucket is compared by arrays, not one by one.
+MANY = 24
 
-    A fold, not connected components: an item that touches two groups joins the first and leaves both as they are.
-    """
 
-    def add(done: Column, x: Column) -> Column:
-        near = F.filter(done, lambda y: g.iou(g.of(y, BOX), g.of(x, BOX)) >= threshold)
-        first = F.array_min(F.transform(near, lambda y: y["g"]))
-        fresh = F.coalesce(F.array_max(F.transform(done, lambda y: y["g"])), F.lit(-1)) + 1
-        return F.array_append(done, F.struct(x.alias("item"), *(x[c].alias(c) for c in BOX), F.coalesce(first, fresh).alias("g")))
+def _area(l: float, t: float, r: float, b: float) -> float:
+    return max(r - l, 0.0) * max(b - t, 0.0)
+
 
-    return add
+def greedy_groups(boxes: np.ndarray, threshold: float) -> np.ndarray:
+    """Of boxes (rows l, t, r, b) in order the number of each one's group: the first group with any member that it overlaps by threshold or more, else a new one.
+
+    A walk, not connected components: a box that touches two groups joins the first and leaves both as they are. A bucket's state is its boxes and
+    their groups, so it grows with the bucket and no more; of many boxes each is compared with all before it at once.
+    """
+    n = len(boxes)
+    out, groups = np.zeros(n, np.int32), 1
+    if n <= MANY:
+        some = [(*map(float, x), _area(*map(float, x))) for x in boxes]
+        for i in range(1, n):
+            l, t, r, b, own = some[i]
+            first = groups
+            for j in range(i):
+                if out[j] < first:
+                    x = some[j]
+                    both = max(min(r, x[2]) - max(l, x[0]), 0.0) * max(min(b, x[3]) - max(t, x[1]), 0.0)
+                    whole = x[4] + own - both
+                    if (both / whole if whole else 0.0) >= threshold:
+                        first = out[j]
+            out[i] = first
+            groups = max(groups, first + 1)
+        return out
+    area = np.maximum(boxes[:, 2] - boxes[:, 0], 0) * np.maximum(boxes[:, 3] - boxes[:, 1], 0)
+    for i in range(1, n):
+        x, old = boxes[i], boxes[:i]
+        both = np.maximum(np.minimum(x[2], old[:, 2]) - np.maximum(x[0], old[:, 0]), 0) * np.maximum(np.minimum(x[3], old[:, 3]) - np.maximum(x[1], old[:, 1]), 0)
+        whole = area[:i] + area[i] - both
+        near = np.divide(both, whole, out=np.zeros(i), where=whole != 0) >= threshold
+        out[i] = out[:i][near].min() if near.any() else groups
+        groups = max(groups, int(out[i]) + 1)
+    return out
+
+
+def _grouping(threshold: float):
+    @F.arrow_udf("array<int>")
+    def of(left: pa.Array, top: pa.Array, right: pa.Array, bottom: pa.Array) -> pa.Array:
+        ends = np.cumsum([0, *pc.list_value_length(left).to_numpy(zero_copy_only=False)])
+        boxes = np.stack([c.flatten().to_numpy(zero_copy_only=False) for c in (left, top, right, bottom)], axis=1)
+        found = [greedy_groups(boxes[a:z], threshold) for a, z in zip(ends, ends[1:], strict=False)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
+
+    return of
 
 
 def clustered(fields: DataFrame, keys: Sequence[str], order: Sequence[str], threshold: float = 0.5) -> DataFrame:
-    """fields (with box l, t, r, b) with column g, numbered in each bucket of keys, in order of the columns of order.
+    """fields (with box l, t, r, b) with column g, the number of their greedy_groups in each bucket of keys, in order of the columns of order.
 
-    One shuffle by the keys; a bucket (a field type on a page) is one array.
+    One shuffle by the keys; a bucket (a field type on a page) is one array, and only the boxes go to the walk.
     """
     rest = [c for c in fields.columns if c not in keys]
     lead = [*order, *(c for c in rest if c not in order)]
     buckets = fields.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*lead))).alias("items"))
-    kind = fields.select(F.struct(*lead).alias("x")).schema["x"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<item:{kind},l:double,t:double,r:double,b:double,g:int>>")
-    out = buckets.select(*keys, F.inline(F.aggregate("items", empty, greedy_step(threshold))))
-    return out.select(*keys, "item.*", "g")
+    sides = [F.col("items")[c].cast("array<double>") for c in BOX]
+    out = buckets.withColumn("g", _grouping(threshold)(*sides))
+    return out.select(*keys, F.inline(F.arrays_zip("items", "g"))).select(*keys, "items.*", "g")
 
 
 def combine_scores(mode: str, n_sources: int) -> Column:

@@ -268,6 +268,8 @@ _BOXES = "'[' || cast(trunc(l / 64 * 1000) as int) || ',' || cast(trunc(t / 64 *
 _ROUND = "'[' || cast(round_even(l / 64 * 1000, 0) as int) || ',' || cast(round_even(t / 64 * 1000, 0) as int) || ',' || cast(round_even(r / 64 * 1000, 0) as int) || ',' || cast(round_even(b / 64 * 1000, 0) as int) || ']'"
 _OCR = f"""with {v.WORDS}, x as (select docid, page, word_id as old, text, "left" + case when word_id % 7 = 1 then {{shift}} else 0 end as "left", top from words where word_id % 7 <> 3 or word_id % 7 = 1)"""
 SQL = {
+    "character_match": f"{_CHARS} select docid, hit, count(*) as n from (select m.docid, m.page, m.fieldtype, m.pos, m.hit from told m) group by 1, 2",
+    "parse_broken_json": f"with {v.FIELDS} select distinct docid, page, 2 as n from fields where k = 0",
     "cells_on_words": f"""with {v.WORDS}, {REGIONS} select x.docid, x.page, case x.ord % 2 when 0 then 'line_item_code' else 'line_item_quantity' end as fieldtype, cast(x.page * 10000 + x.ord // 2 as bigint) as line_item_id, string_agg(w.text, ' ' order by w.word_id) as text, min(w."left") as "left", max(w."right") as "right"
 from regions x join words w on w.docid = x.docid and w.page = x.page and (w."left" + w."right") / 2 between x.l and x.r and (w.top + w.bottom) / 2 between x.t and x.b where x.ord >= 2 group by x.docid, x.page, x.ord""",
     "run_eval": f"""{_CHARS}, ranked as (select *, row_number() over w as rank, sum(hit::int) over (partition by task order by score desc, docid, page, fieldtype, pos rows unbounded preceding) as so_far from told window w as (partition by task order by score desc, docid, page, fieldtype, pos)),

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["ensemble_weighted_max", "self_consistency_vote", "best_iou_replace", "smallest_region", "row_groups", "layout_render", "knn_vote", "calc_verifier", "parse_llm_json", "format_confidence", "candidate_dedup", "oracle_dedup", "type_sets", "align_cascade", "oracle_account_num", "parse_verdicts", "merge_pages", "script_rules", "hybrid_knn"]
+NAMES = "ensemble_weighted_max self_consistency_vote best_iou_replace smallest_region row_groups layout_render knn_vote calc_verifier jaccard_top1 parse_llm_json format_confidence candidate_dedup oracle_dedup type_sets align_exact_norm align_multiline refine_address oracle_iban oracle_document_id regex_candidates_date span_attributes feature_vector candidate_windows run_eval recall_chain recall_counts triage cross_check add_absent parse_candidates parse_script_output parse_programs page_training_rows chat_training_rows ocr_words html_cells cells_on_words parse_verdicts merge_pages script_rules hybrid_knn".split()
 
 
 def normal(v):

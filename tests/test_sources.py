@@ -66,7 +66,7 @@ def test_a_second_run_adds_nothing(spark, tmp_path):
     assert incremental.append_new(docs.where("docid < 6"), sink, lambda df: df) == 6
     assert incremental.append_new(docs, sink, lambda df: df) == 4
     assert incremental.append_new(docs, sink, lambda df: df) == 0
-    assert spark.read.parquet(sink).count() == 10
+    assert incremental.results(spark, sink).count() == 10
 
 
 def test_stream(spark, tmp_path):
@@ -74,4 +74,4 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         spark.range(5).withColumnRenamed("id", "docid").write.mode("append").parquet(source)
         incremental.follow(spark, source, "docid long", sink, mark, lambda df: df).awaitTermination()
-    assert spark.read.parquet(sink).count() == 5
+    assert incremental.results(spark, sink).count() == 5
