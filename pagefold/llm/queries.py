@@ -70,7 +70,31 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4_secrets: the base spans."""
+    return op4_secrets(spark, sf_dir).drop("spans")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7_quality: the base rules."""
+    return op7_quality(spark, sf_dir).drop("p_quality", "kept")
+
+
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10_licenses: the base phrases."""
+    return op10_licenses(spark, sf_dir).drop("labels", "score")
+
+
+def fingerprints_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3_fingerprints: the edited texts."""
+    return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = {
+    "secrets_base": secrets_base,
+    "quality_base": quality_base,
+    "licenses_base": licenses_base,
+    "fingerprints_base": fingerprints_base,
     "op1_warc": op1_warc,
     "op2_chat": op2_chat,
     "op3_fingerprints": op3_fingerprints,
@@ -132,4 +156,53 @@ with recursive lens as (
   from lens join cuts on greatest(n_tokens, 1) > low and greatest(n_tokens, 1) <= padded
 )
 select doc_id, n_tokens, bucket, padded, cast(r // greatest(1, 65536 // padded) as bigint) as batch, cast(r % greatest(1, 65536 // padded) as bigint) as slot from placed""",
+    "secrets_base": r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+k as (
+  select doc_id, t, 0 as kind, 'assign' as name, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' as p from d
+  union all select doc_id, t, 1, 'access', 'AKIA[A-Z0-9]+' from d union all select doc_id, t, 2, 'hex', '[0-9a-f]+' from d
+), m as (
+  select *, regexp_extract_all(t, p) as found, string_split_regex(t, p) as gaps from k
+), e as (
+  select doc_id, kind, name, p, gaps, found, unnest(range(1, len(found) + 1)) as i from m
+), s as (
+  select doc_id, kind, name, found[i] as x, p, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) as start from e
+  where case kind when 0 then true when 1 then length(found[i]) >= 16 else length(found[i]) >= 32 end
+), b as (
+  select *, cast(start as bigint) as a, cast(start + length(x) as bigint) as z from s where kind <> 0 or length(regexp_extract(x, p, 2)) >= 8
+), g as (
+  select doc_id, count_if(kind = 0) as n_assign, count_if(kind = 1) as n_access, count_if(kind = 2) as n_hex, string_agg(concat(name, ':', a, ':', z), ',' order by a, kind) as spans from b group by 1
+)
+select d.doc_id, cast(coalesce(n_assign, 0) as bigint) as n_assign, cast(coalesce(n_access, 0) as bigint) as n_access, cast(coalesce(n_hex, 0) as bigint) as n_hex, sha256(coalesce(spans, '')) as base_sha256 from d left join g using (doc_id)""",
+    "quality_base": r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents
+), v as (
+  select doc_id, w, unnest(range(1, len(w) - 6)) as i from d
+), g as (
+  select doc_id, i, array_to_string(w[i:i + 7], ' ') as eight from v
+), r as (
+  select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + 8)) as k from (select doc_id, i, count(*) over (partition by doc_id, eight) as n from g) where n > 1) group by 1
+), c as (
+  select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words from d left join r using (doc_id)
+)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c""",
+    "licenses_base": r"""
+with d as (
+  select doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents
+), p as (
+  select * from (values (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) t(phrase, label)
+), h as (
+  select doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(phrase)] = phrase)) as i from (select * from d where list_contains(w, 'license')) d, p
+), g as (
+  select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from h group by 1
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels from d left join g using (doc_id)""",
+    "fingerprints_base": """
+with d as (
+  select doc_id, coalesce(text, '') as t, coalesce(lead(coalesce(text, '')) over (order by doc_id), first(coalesce(text, '')) over (order by doc_id)) as following from documents
+)
+select doc_id, cast(length(t) as bigint) as n_chars, sha256(left(t, length(t) - length(t) // 4) || left(following, length(t) // 4)) as edited_sha256 from d""",
 }
