@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 rows.append({"at": np.concatenate([p[0] for p in parts]).tolist(), "share": np.concatenate([p[1] for p in parts]).tolist(), "label_id": i, "label": y})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("at", pa.list_(pa.int32())), ("share", pa.list_(pa.float32())), ("label_id", pa.int64()), ("label", pa.int32())]))
 
-    rows = docs.where("text is not null").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min("text").alias("text"), F.first("label").cast("int").alias("label")).select("text", "label_id", "label")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min("text").alias("text"), F.first("label").cast("int").alias("label")).select("text", "label_id", "label")
     got = rows.mapInArrow(count, "at array<int>, share array<float>, label_id long, label int").toArrow()
     ids, y = np.asarray(got.column("label_id")), np.asarray(got.column("label"))
     parts = [[x.values.to_numpy() for chunk in got.column(c).chunks for x in chunk] for c in ("at", "share")]

@@ -100,7 +100,8 @@ def parse_record(member: bytes) -> dict:
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html; other columns are ignored) into folder and returns the index.
 
-    Runs one job. Null html is an empty payload, a null url leaves the header out. No pages: an empty index.
+    Runs one job. Null html is an empty payload, a null url leaves the header out. No pages: an empty index. A payload of any size is one
+    record, which its task holds whole, as Spark holds the row; archives are closed after the record that passes archive_bytes.
     """
     small_batches(pages.sparkSession)
     schema = _schema(INDEX)

@@ -79,3 +79,24 @@ def test_a_text_scores_alike_alone_and_in_a_batch():
     model = quality.Model(*(__import__("numpy").random.default_rng(k).normal(size=1 << b).astype("f4") for k, b in enumerate((quality.WORD_BITS, quality.CHAR_BITS))), 0.05, 0.0)
     alone = [model.probabilities([t])[0] for t in rows]
     assert abs(model.probabilities(rows) - alone).max() < 1e-6
+
+
+def test_labels_that_clash_and_more_than_are_used(spark):
+    """An id with both labels counts as 0; of more labelled ids than the sample those of the smallest hash fit, the same whenever it runs; of rows that repeat an id the least text."""
+    r = random.Random(33)
+    good, bad = "river meadow harbour lantern orchard".split(), "buy now click win cash".split()
+    rows = [(i, " ".join(r.choices(good if i % 2 else bad, k=60)), i % 2) for i in range(80)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(1, "zzz " * 60, "x")] * 3, "doc_id long, text string, label string").repartition(5)
+    labels = [(i, y) for i, _, y in rows] + [(2, 1), (None, 1), (5, None)]
+    df = spark.createDataFrame(labels, "doc_id long, quality int")
+    one, two = quality.train(docs, df, sample=40), quality.train(docs.repartition(2), df.repartition(3), sample=40)
+    assert (one.words == two.words).all() and (one.a, one.b) == (two.a, two.b)
+    p = one.probabilities([(" ".join(r.choices(w, k=60))).encode() for w in (good, bad) for _ in range(10)])
+    assert (p[:10] > 0.5).all() and (p[10:] < 0.5).all()
+
+
+def test_a_very_long_repetitive_text():
+    words = [f"w{k}".encode() for k in range(50_000)]
+    text = b" ".join(words + [b"sep"] + words[:30_000])
+    n = quality.base(text)
+    assert n[0] == 80_001 and n[4] == 60_000
