@@ -309,7 +309,3 @@ def fuzzy_region(values: DataFrame, regions: DataFrame, least: float = 60.0) ->
 
     both = values.join(regions, PAGE).withColumn("ratio", partial_ratio("value", "text")).where(F.col("ratio") >= least)
     return both.groupBy(*PAGE, "vid").agg(F.max(F.struct("ratio", (-F.col("ord")).alias("minus"))).alias("x")).select(*PAGE, "vid", (-F.col("x.minus")).alias("ord"), "x.ratio")
-
-
-def confidence_at_least(c: Column, least: float) -> Column:
-    return F.when(c >= least, c)

@@ -158,11 +158,11 @@ whole as (select docid, page, span_id, sum(n) as total, count(distinct row_no) a
 select docid, page, span_id, string_agg(word_id, ',' order by word_id) as ids from g join chosen c using (docid, page, span_id) join whole using (docid, page, span_id) where g.g = c.g or (rows = 1 and c.n < total // 2) group by all"""
 
 
-def _runs_sql(most):
+def _runs_sql(most, start="true"):
     return f"""{_M}, placed as (select *, row_number() over (partition by docid, page order by round_even(top * 50, 0), "left", word_id) as place from mixed),
 arr as (select docid, page, list(text order by place) as ws, list(word_id order by place) as ids from placed group by all), st as (select *, unnest(range(0, len(ws))) as pos from arr),
 win as (select docid, page, pos, n, array_to_string(ids[pos + 1:pos + n], ',') as ids, array_to_string(ws[pos + 1:pos + n], ' ') as text, array_to_string(ws[pos + 1:pos + n], '') as compact,
-  lower(array_to_string(list_concat(ws[greatest(pos - 3, 0) + 1:pos], ws[pos + n + 1:pos + n + 3]), ' ')) as around from st, range(1, {most + 1}) t(n) where pos + n <= len(ws))"""
+  lower(array_to_string(list_concat(ws[greatest(pos - 3, 0) + 1:pos], ws[pos + n + 1:pos + n + 3]), ' ')) as around from (select * from st where {start}), range(1, {most + 1}) t(n) where pos + n <= len(ws))"""
 
 
 #: Patterns of codes.CODES in the other engine's words.
@@ -180,27 +180,28 @@ def _code_sql(t):
     code = _UPPER if t in ("bic", "vendor_tax_id", "customer_tax_id") else "replace(compact, '-', '')" if t in ("account_num", "bank_num") else "compact"
     labelled = " or ".join(f"contains(around, '{x}')" for x in codes.LABELS[t])
     more = " and regexp_matches(code, '[0-9]')" if t == "document_id" else ""
-    return f"""{_runs_sql(most)}, real as (select *, {code} as code, {labelled} as labelled from win where regexp_matches(code, '{_PATTERNS[t]}'){more}), first as (select distinct on (docid, page, pos) * from real order by docid, page, pos, n)
+    start = "regexp_matches(ws[pos + 1], '^[0-9-]*$')" if t in ("account_num", "bank_num") else "true"
+    return f"""{_runs_sql(most, start)}, real as (select *, {code} as code, {labelled} as labelled from win where regexp_matches(code, '{_PATTERNS[t]}'){more}), first as (select distinct on (docid, page, pos) * from real order by docid, page, pos, n)
 select distinct on (docid, page, code) docid, page, pos, ids, text, code, case when labelled then 1.0::double else 0.7::double end as score from first order by docid, page, code, pos"""
 
 
-def _regex_sql(most, test):
+def _regex_sql(most, test, start="true"):
     return f"""{_M}, arr as (select docid, page, list(text order by word_id) as ws from mixed group by all), st as (select *, unnest(range(0, len(ws))) as pos from arr),
-win as (select docid, page, cast(pos as int) as start, cast(n as int) as n, array_to_string(ws[pos + 1:pos + n], ' ') as text, array_to_string(ws[pos + 1:pos + n], '') as compact from st, range(1, {most + 1}) t(n) where pos + n <= len(ws))
+win as (select docid, page, cast(pos as int) as start, cast(n as int) as n, array_to_string(ws[pos + 1:pos + n], ' ') as text, array_to_string(ws[pos + 1:pos + n], '') as compact from (select * from st where {start}), range(1, {most + 1}) t(n) where pos + n <= len(ws))
 select docid, page, start, n, text, case when n = 1 then 0.85::double else 0.8::double end as score from win where {test}"""
 
 
 _DIGIT = "lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1"
 _IBAN = f"length({{0}}) between 15 and 34 and regexp_matches({{0}}, '^[A-Z]{{{{2}}}}[0-9]{{{{2}}}}[A-Z0-9]{{{{11,30}}}}$') and list_reduce(list_transform(string_split({{0}}[5:] || {{0}}[:4], ''), {_DIGIT}), lambda a, x: (a * case when x > 9 then 100 else 10 end + x) % 97) = 1"
 #: The greedy walk over a page's finds: element by element, the state is the last element's.
-_IBANS = f"""{_runs_sql(8)}, real as (select distinct on (docid, page, pos) *, {_UPPER} as code from win where regexp_matches(text, '(?i)^[A-Z]{{2}}[0-9]{{2}}') and {_IBAN.format(_UPPER)} order by docid, page, pos, n),
+_IBANS = f"""{_runs_sql(8, "regexp_matches(ws[pos + 1], '(?i)^[A-Z]{2}[0-9]{2}')")}, real as (select distinct on (docid, page, pos) *, {_UPPER} as code from win where regexp_matches(text, '(?i)^[A-Z]{{2}}[0-9]{{2}}') and {_IBAN.format(_UPPER)} order by docid, page, pos, n),
 walks as (select docid, page, list_reduce(list({{'pos': pos, 'n': n, 'free': pos + n, 'out': [pos]}} order by pos), lambda a, x: {{'pos': x.pos, 'n': x.n, 'free': case when x.pos >= a.free then x.pos + x.n else a.free end, 'out': case when x.pos >= a.free then list_append(a.out, x.pos) else a.out end}}).out as taken from real group by all),
 free as (select docid, page, unnest(taken) as pos from walks)
 select distinct on (docid, page, code) docid, page, pos, ids, text, code, 1.0::double as score from real join free using (docid, page, pos) order by docid, page, code, pos"""
 _LOOKS = f"""{_W}, {SPANS}, {BOXED}, {AROUND}, {near_sql(learning.LABELS)},
 said_of as (select s.docid, s.page, s.span_id, string_agg(w.text, ' ' order by w.word_id) as text, cast(count(*) as int) as word_count from spans s join words w on w.docid = s.docid and w.page = s.page and list_contains(s.word_ids, w.word_id) group by all),
 looks as (select docid, page, span_id, text, cast(length(text) as int) as char_count, word_count, regexp_matches(text, '\\p{{Nd}}') as has_digits, length(regexp_replace(text, '\\P{{Nd}}', '', 'g')) / greatest(length(text), 1) as digit_ratio, regexp_matches(text, '\\p{{L}}') as has_letters,
-  regexp_matches(text, '{learning.CURRENCY}') as has_currency, regexp_matches(replace(upper(text), ' ', ''), '\\b[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}\\b') as like_iban,
+  regexp_matches(text, '{learning.CURRENCY}') as has_currency, regexp_matches(replace(upper(text), ' ', ''), '(^|[^\\p{{L}}\\p{{N}}_])[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}([^\\p{{L}}\\p{{N}}_]|$)') as like_iban,
   regexp_matches(text, '(?i)\\b\\d{{1,4}}[-./]\\d{{1,2}}[-./]\\d{{1,4}}\\b|\\b\\d{{1,2}}\\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\s+\\d{{2,4}}\\b') as like_date,
   regexp_matches(text, '[$€£¥₹₽]?\\s*\\d[\\d,.\\s]*\\d|\\d[\\d,.\\s]*\\d\\s*[$€£¥₹₽%]') as like_amount, l as "left", t as top, r - l as width, b - t as height, left_text, right_text, above_text, below_text, label, dist
   from said_of join boxed using (docid, page, span_id) join around using (docid, page, span_id) join near using (docid, page, span_id))"""
@@ -224,7 +225,7 @@ join (with {v.WORDS}, {v.MIXED} select * from mixed) m using (docid, page, word_
     **{f"oracle_{t}": _code_sql(t) for t in codes.CODES},
     "regex_candidates": _regex_sql(1, r"regexp_matches(text, '^-?\d+([.,]\d+)?$')"),
     "regex_candidates_date": _regex_sql(4, r"regexp_matches(text, '^\d{4}-\d{1,2}-\d{1,2}$|^\d{1,2}/\d{1,2}/\d{2,4}$|^\d{1,2}\.\d{1,2}\.\d{2,4}$|^\d{1,2}-\d{1,2}-\d{2,4}$|(?i)^\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s*,?\s*\d{2,4}$|^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{2,4}$')"),
-    "regex_candidates_iban": _regex_sql(8, _IBAN.format(_UPPER)),
+    "regex_candidates_iban": _regex_sql(8, _IBAN.format(_UPPER), "regexp_matches(array_to_string(ws[pos + 1:pos + 4], ''), '(?i)^[A-Z]{2}[0-9]{2}')"),
     "regex_candidates_bic": _regex_sql(1, "length(text) in (8, 11) and regexp_matches(upper(replace(text, 'ß', 'SS')), '^[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?$')"),
     "regex_candidates_currency": _regex_sql(1, f"text in {tuple(codes.SIGNS)} or upper(text) in {tuple(codes.CODES_40)}"),
     "regex_candidates_rate": _regex_sql(1, r"regexp_matches(text, '^\d+(\.\d+)?\s*%?$')"),
