@@ -1,7 +1,6 @@
 import random
 from difflib import SequenceMatcher
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,23 +33,6 @@ def test_a_bridge_joins_the_first_group_only(spark):
     assert [r.g for r in got.collect()] == [0, 1, 0]
 
 
-def test_groups_against_brute_force():
-    r = random.Random(71)
-    for n in (0, 1, 2, 7, 23, 24, 25, 60):
-        for _ in range(20):
-            boxes = [(x, y, x + r.choice([0, 4, 6]), y + r.choice([4, 6])) for x, y in ((r.randint(0, 12), r.randint(0, 6)) for _ in range(n))]
-            want = []
-            for i, b in enumerate(boxes):
-                near = []
-                for a, g in zip(boxes[:i], want, strict=True):
-                    both = max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
-                    whole = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
-                    if whole and both / whole >= 0.5:
-                        near.append(g)
-                want.append(min(near, default=max(want, default=-1) + 1))
-            assert ensemble.greedy_groups(np.array(boxes, float).reshape(-1, 4), 0.5).tolist() == want
-
-
 def test_votes(spark):
     out = ensemble.merge(fields(spark, {}, {"k": 1}), 3, mode="vote").first()
     assert out.score == pytest.approx(2 / 3)
